@@ -69,7 +69,6 @@ DEFAULT = "allow"
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for null or where ``://`` is missing."""
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.concat(url, F.lit("")), "://", -1))
     rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + F.lit(3)))
     rest = F.coalesce(rest, F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
@@ -128,11 +127,11 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, own: tuple[Ru
 
     out = parts.withColumn("candidates", F.array_distinct(F.concat(fetched, ints(always))))
     out = out.withColumn("best", F.array_max(F.transform(F.filter("candidates", fits), rank)))
-    at = -F.col("best.k") + 1
+    at = F.coalesce(-F.col("best.k"), F.lit(0)) + 1
     return out.select(
         *keep, "host", "path",
         F.when(F.col("best.named") == 1, F.element_at(F.array(*(F.lit(r.text) for r in every)), at)).alias("rule"),
-        F.coalesce(F.element_at(F.array(*(F.lit(r.verdict) for r in every)), at), F.lit(default)).alias("verdict"),
+        F.when(F.col("best").isNull(), F.lit(default)).otherwise(F.element_at(F.array(*(F.lit(r.verdict) for r in every)), at)).alias("verdict"),
         F.size("candidates").alias("n_candidates"),
     )
 
