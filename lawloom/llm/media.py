@@ -27,6 +27,7 @@ from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,7 +160,6 @@ def feature(payload: bytes) -> str:
 
 def sequences(pages: DataFrame, *keep: str, html: str = "html") -> DataFrame:
     """keep columns and ``items`` of every page."""
-    import pandas as pd
 
     @F.pandas_udf(ITEMS)
     def parsed(pages: pd.Series) -> pd.Series:

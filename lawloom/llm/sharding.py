@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lawloom.llm.common import U64, mix, stored, table, text_or_empty
 
 SHARDS, SEED, ROUNDS = 40, 20240229, 4
-ROWS_PER_BUCKET, MAX_BUCKETS = 16384, 1 << 20
+ROWS_PER_BUCKET, MAX_BUCKETS = 512, 1 << 20
 
 
 def half_bits(n: int) -> int:

@@ -154,4 +154,4 @@ def sifted(docs: DataFrame, units: Units, window: int, gram: int, name: str, **o
     # equal hashes of different texts: the group is the one with the text's own SHA-256
     own = F.filter("same", lambda s: s["sha"] == F.sha2("t", 256))
     first = F.try_element_at(F.transform(own, lambda s: s["first"]), F.lit(1))
-    return joined.select("doc_id", F.col("d64").cast("int").alias("tag"), "t", first.alias("first"), F.when(F.size("anchors") > 0, F.col("anchors")).alias("anchors")), slices
+    return joined.select("doc_id", F.col("d64").bitwiseAND(0x7FFFFFFF).cast("int").alias("tag"), "t", first.alias("first"), F.when(F.size("anchors") > 0, F.col("anchors")).alias("anchors")), slices
