@@ -56,7 +56,7 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-NAMES = list(statistics(F.lit("")).keys()) if False else ["chars", "words", "word_len", "upper", "symbols", "marks", "stops", "digits", "distinct", "line_len", "line_distinct", "function"]
+NAMES = ["chars", "words", "word_len", "upper", "symbols", "marks", "stops", "digits", "distinct", "line_len", "line_distinct", "function"]
 
 
 @dataclass(frozen=True)
@@ -72,13 +72,13 @@ class RuleEnsemble:
     bias: float
     rules: tuple[Rule, ...]
 
-    def column(self) -> Column:
-        """Probability of label 1 over columns named as the statistics."""
+    def column(self, stats: Column) -> Column:
+        """Probability of label 1 over a struct of statistics."""
         total = F.lit(self.bias)
         for rule in self.rules:
             holds = F.lit(True)
             for name, above, cut in rule.terms:
-                holds = holds & ((F.col(name) > cut) if above else (F.col(name) <= cut))
+                holds = holds & ((stats[name] > cut) if above else (stats[name] <= cut))
             total = total + F.when(holds, F.lit(rule.weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
@@ -89,6 +89,14 @@ class RuleEnsemble:
         return 1 / (1 + np.exp(-total))
 
 
+def _tight(terms) -> tuple[tuple[str, bool, float], ...]:
+    """The narrowest cut for each statistic and direction."""
+    out: dict[tuple[str, bool], float] = {}
+    for name, above, cut in terms:
+        out[name, above] = (max if above else min)(cut, out.get((name, above), cut))
+    return tuple(sorted((n, a, c) for (n, a), c in out.items()))
+
+
 def _holds(x: np.ndarray, names: list[str], terms) -> np.ndarray:
     out = np.ones(len(x), bool)
     for name, above, cut in terms:
@@ -148,7 +156,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES
         paths, step = _tree(x, weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6), cuts, names, depth, max(5, len(y) // 500))
         f += RATE * step
         for terms in paths:
-            rules.setdefault(tuple(sorted(terms)), None)
+            rules.setdefault(_tight(terms), None)
     terms = [t for t in rules if 0 < (m := _holds(x, names, t).mean()) < 1 and m >= 2 / len(y)]
     z = np.stack([_holds(x, names, t) for t in terms], axis=1).astype(float) if terms else np.zeros((len(y), 0))
     mean, scale = z.mean(axis=0), np.maximum(z.std(axis=0), 1e-9)
@@ -187,12 +195,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> RuleE
     return fit_rules(x, y, NAMES)
 
 
+def score_column(model: RuleEnsemble, text: Column) -> Column:
+    """The statistics are bound once by a lambda, so no rule computes them again wherever the optimizer moves the column."""
+    stats = F.array(F.struct(*(c.alias(k) for k, c in statistics(text).items())))
+    return F.element_at(F.transform(stats, model.column), 1)
+
+
 def score(docs: DataFrame, model: RuleEnsemble, *keep: str | Column) -> DataFrame:
     """keep columns and ``score``."""
-    stats = docs.select(*keep, *(c.alias(f"_q_{k}") for k, c in statistics(text_or_empty()).items()))
-    names = [c for c in stats.columns if not c.startswith("_q_") or c[3:] not in NAMES]
-    renamed = RuleEnsemble(model.bias, tuple(Rule(tuple((f"_q_{n}", a, c) for n, a, c in r.terms), r.weight) for r in model.rules))
-    return stats.select(*(F.col(f"`{c}`") for c in names), renamed.column().alias("score"))
+    return docs.select(*keep, score_column(model, text_or_empty()).alias("score"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,4 +214,4 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score is at least THRESHOLD, with the columns of docs."""
-    return score(docs, train(docs, labels), *(F.col(f"`{c}`") for c in docs.columns)).where(F.col("score") >= THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.where(score_column(train(docs, labels), text_or_empty()) >= THRESHOLD)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lawloom.llm import decontamination, line_chunks, media, mixing, quality, sharding, simhash, substring, url_filter
+from lawloom.llm import decontamination, line_chunks, media, mixing, quality, sharding, simhash, substring, suffix_array, url_filter
 
 QUERIES = {
+    "op1_suffix_array_dedup": suffix_array.op1_suffix_array_dedup,
     "op2_spaced_seed_decontamination": decontamination.op2_spaced_seed_decontamination,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_substring_dedup": substring.op4_substring_dedup,

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawloom.llm.common import stored, table, text_or_empty
+from lawloom.llm.common import row_key, stored, table, text_or_empty
 
 RADIUS, SHINGLE, SEED, SHARD = 3, 3, 42, 2048
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -275,3 +275,37 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def one_of_each(docs: DataFrame, widths: tuple[int, ...] = (3, 5), radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """docs with one row of each class: the smallest doc_id (null last), then the smallest text hash.
+
+    Classes link texts whose fingerprints over shingles of any of ``widths`` words lie within the
+    radius, so a copy that one width misses may be found by another. Texts travel once, to meet the
+    list of rows that stay.
+    """
+    keyed = docs.select(*row_key(), text_or_empty().alias("_t"))
+    rows = keyed
+    for w in widths:
+        rows = with_fingerprint(rows.select(*(F.col(c) for c in rows.columns if c != "_t"), "_t"), *rows.drop("_t").columns, F.col("_t").alias("_kept"), width=w, text="_t").withColumnRenamed("fp", f"fp{w}").withColumnRenamed("_kept", "_t")
+    rows = stored(rows.drop("_t"), "fingerprints")
+    # Nodes of the graph are fingerprints; a text ties its fingerprints of different widths together.
+    edges = None
+    for w in widths:
+        own = rows.select(F.col(f"fp{w}").alias("fp")).distinct()
+        found = links(own, radius, shard).select(F.xxhash64(F.lit(w), "a").alias("a"), F.xxhash64(F.lit(w), "b").alias("b"))
+        edges = found if edges is None else edges.unionByName(found)
+    node = lambda w: F.xxhash64(F.lit(w), f"fp{w}")
+    for w in widths[1:]:
+        edges = edges.unionByName(rows.select(node(widths[0]).alias("a"), node(w).alias("b")).distinct())
+    roots = components(edges)
+    rows = rows.withColumn("node", node(widths[0])).join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    firsts = rows.groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.text_hash")
+    counts = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n"))
+    on = F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.text_hash") == F.col("c.text_hash"))
+    stay = stored(firsts.alias("f").join(counts.alias("c"), on).select("f.doc_id", "f.text_hash", "c._n"), "stay")
+    on = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._text_hash") == F.col("s.text_hash"))
+    kept = docs.withColumn("_text_hash", row_key()[1]).alias("d").join(stay.alias("s"), on).select("d.*", "s._n")
+    single, repeated = kept.where("_n = 1"), kept.where("_n > 1").dropDuplicates(["doc_id", "_text_hash"])
+    return single.unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
