@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +91,6 @@ def hausdorff(truth: DataFrame, detected: DataFrame, by: list[str]) -> DataFrame
 
 def change_point_metrics(truth: DataFrame, detected: DataFrame, by: list[str], tolerance: int) -> DataFrame:
     """Precision, recall and mean delay of a greedy one-to-one match in the order of truth; sets of one group meet in a task."""
-    import pandas as pd
-
     t = truth.groupBy(*by).agg(F.sort_array(F.collect_set("at")).alias("t"))
     d = detected.groupBy(*by).agg(F.sort_array(F.collect_set("at")).alias("d"))
 

@@ -37,12 +37,11 @@ def expanding_fits(indexed: DataFrame) -> DataFrame:
 def family_forecasts(fits: DataFrame, steps: int = 1) -> DataFrame:
     """One row for each fit, family and step 1..steps: family, step, forecast."""
     at = lambda s: F.col("idx") + s
+    family = lambda name, c: F.struct(F.lit(name).alias("family"), c.cast("double").alias("forecast"))
     one = lambda s: F.array(
-        F.struct(F.lit("constant").alias("family"), F.col("mean").alias("forecast")),
-        F.struct(F.lit("drift"), F.col("first") + F.col("drift_slope") * at(s)),
-        F.struct(F.lit("linear_trend"), F.col("trend_intercept") + F.col("trend_slope") * at(s)),
-        F.struct(F.lit("seasonal_naive"), F.col("seasonal_anchor")),
-    )
+        family("constant", F.col("mean")), family("drift", F.col("first") + F.col("drift_slope") * at(s)),
+        family("linear_trend", F.col("trend_intercept") + F.col("trend_slope") * at(s)), family("seasonal_naive", F.col("seasonal_anchor")),
+    )
     out = fits.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("_f", F.explode(one(F.col("step"))))
     return out.select("entity", F.col("idx").alias("origin_index"), "step", F.col("_f.family").alias("family"), F.col("_f.forecast").alias("forecast"))
 
@@ -60,13 +59,12 @@ def fitted_values(indexed: DataFrame) -> DataFrame:
     slope = _safe_ratio(n * F.col("xy") - sx * F.col("ym") * n, (n * sxx - sx * sx).cast("double"))
     drift = F.when(n == 1, 0.0).otherwise((F.col("last") - F.col("first")) / F.when(n > 1, n - 1))
     xm = (n - 1) / 2
+    family = lambda name, c, k: F.struct(F.lit(name).alias("family"), c.cast("double").alias("fitted"), F.lit(k).alias("n_parameters"))
     return out.select(
         "entity", "idx", "target",
         F.explode(F.array(
-            F.struct(F.lit("constant").alias("family"), F.col("ym").alias("fitted"), F.lit(1).alias("n_parameters")),
-            F.struct(F.lit("drift"), F.col("first") + drift * F.col("idx"), F.lit(2)),
-            F.struct(F.lit("linear_trend"), F.col("ym") - slope * xm + slope * F.col("idx"), F.lit(2)),
-            F.struct(F.lit("seasonal_naive"), F.col("seasonal"), F.lit(2)),
+            family("constant", F.col("ym"), 1), family("drift", F.col("first") + drift * F.col("idx"), 2),
+            family("linear_trend", F.col("ym") - slope * xm + slope * F.col("idx"), 2), family("seasonal_naive", F.col("seasonal"), 2),
         )).alias("f"),
     ).select("entity", "idx", "target", "f.family", "f.fitted", "f.n_parameters")
 
@@ -104,7 +102,7 @@ def rectified_fit(indexed: DataFrame, horizons: int) -> DataFrame:
     base = affine_fit(ar1_pairs(indexed), ["entity"], "lag_1", "target")
     pairs = direct_pairs(indexed, horizons).join(base, "entity")
     err = F.col("realized") - recursive_affine(F.col("origin_value"), F.col("intercept"), F.col("slope"), F.col("horizon"))
-    return pairs.groupBy("entity", "horizon").agg(F.first("intercept").alias("intercept"), F.first("slope").alias("slope"), F.avg(err).alias("correction"))
+    return pairs.withColumn("_e", err).groupBy("entity", "horizon").agg(F.first("intercept").alias("intercept"), F.first("slope").alias("slope"), F.avg("_e").alias("correction"))
 
 
 def running_mean(indexed: DataFrame) -> DataFrame:

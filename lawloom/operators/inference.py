@@ -20,7 +20,7 @@ def autocovariances(rows: DataFrame, by: list[str], order: str, value: str, max_
     w = Window.partitionBy(*by)
     r = rows.withColumn("_n", F.count("*").over(w)).withColumn("_d", F.col(value) - F.avg(value).over(w))
     lagged = F.array(*(F.struct(F.lit(k).alias("lag"), (F.col("_d") * F.lag("_d", k).over(w.orderBy(order))).alias("p")) for k in range(max_lag + 1)))
-    return r.select(*by, "_n", F.explode(lagged).alias("l")).groupBy(*by, F.col("_n").alias("n"), F.col("l.lag").alias("lag")).agg(F.coalesce(F.sum("l.p"), F.lit(0.0)).alias("s"))
+    return r.withColumn("_l", lagged).select(*by, "_n", F.explode("_l").alias("l")).groupBy(*by, F.col("_n").alias("n"), F.col("l.lag").alias("lag")).agg(F.coalesce(F.sum("l.p"), F.lit(0.0)).alias("s"))
 
 
 def effective_sample_size(rows: DataFrame, by: list[str], order: str, value: str, max_lag: int) -> DataFrame:
@@ -145,7 +145,7 @@ def change_points(rows: DataFrame, by: list[str], order: str, value: str, penalt
         while n and back[t] > 0:
             t = back[t]
             out.append(int(t))
-        return pd.DataFrame({**{k: [group[k].iloc[0]] * len(out) for k in by}, "at": sorted(out)})
+        return pd.DataFrame({**{k: np.repeat(group[k].iloc[:1].to_numpy(dtype=object), len(out)) for k in by}, "at": np.array(sorted(out), np.int64)})
 
     keys = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)
     return rows.select(*by, order, value).groupBy(*by).applyInPandas(run, f"{keys}, at long")

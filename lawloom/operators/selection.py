@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ def _skyline(rows: list[tuple], directions: list[str]) -> list[int]:
 
 def frontier(candidates: DataFrame, by: list[str], axes: dict[str, str]) -> DataFrame:
     """Non-dominated rows of each group. Each partition reduces its rows to their own frontier before groups meet."""
-    import pandas as pd
-
     names, directions = list(axes), list(axes.values())
 
     def local(batches):

@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
+from lawloom.plans import queries_core, queries_evidence  # noqa: F401
 from lawloom.plans.registry import ORACLES, QUERIES  # noqa: F401
