@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawloom.llm.common import row_key, stored, table, text_or_empty
+from lawloom.llm.common import U64, mix, stored, table, text_or_empty
 
 RADIUS, SHINGLE, SEED, SHARD = 3, 3, 42, 2048
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -154,8 +154,6 @@ def _paths(levels: int) -> list[tuple[int, ...]]:
 
 def shard_keys(levels: int):
     """uint64 fingerprints -> an array of keys per fingerprint: one for each path of block choices (unique across paths)."""
-    from lawloom.llm.common import U64, mix
-
     masks = [sum(1 << b for b in held) for held in _paths(levels)]
 
     def keys(fps: np.ndarray) -> np.ndarray:
@@ -166,71 +164,76 @@ def shard_keys(levels: int):
 
 
 def _keyed(fps: DataFrame, levels: int) -> DataFrame:
-    """(path, key, fp) rows of each fingerprint at a depth of block choices."""
+    """(view, path, key, fp) rows of each fingerprint at a depth of block choices."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         keys, n = shard_keys(levels)
         for batch in batches:
-            all_fp = batch.column(0).to_numpy().astype(np.int64)
+            all_view, all_fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             for at in range(0, len(all_fp), max(1, 65536 // n)):
-                fp = all_fp[at : at + max(1, 65536 // n)]
+                view, fp = all_view[at : at + max(1, 65536 // n)], all_fp[at : at + max(1, 65536 // n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(n, dtype=np.int32), len(fp))), pa.array(keys(fp.view(np.uint64)).ravel().view(np.int64)), pa.array(np.repeat(fp, n))],
-                    names=["path", "key", "fp"],
+                    [pa.array(np.repeat(view, n), pa.int32()), pa.array(np.tile(np.arange(n, dtype=np.int32), len(fp))), pa.array(keys(fp.view(np.uint64)).ravel().view(np.int64)), pa.array(np.repeat(fp, n))],
+                    names=["view", "path", "key", "fp"],
                 )
 
-    return fps.mapInArrow(run, "path int, key long, fp long")
+    return fps.select("view", "fp").mapInArrow(run, "view int, path int, key long, fp long")
+
+
+SHARD_KEY = ["view", "path", "key"]
 
 
 def _shard_forests(shards: DataFrame, radius: int) -> DataFrame:
-    """shards: (path, key, fp); a forest of each shard. Rows of a shard follow one another in a sorted partition."""
+    """A forest of each shard: (view, a, b). Rows of a shard follow one another in a sorted partition."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         held: tuple | None = None
         group: list[int] = []
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
+
+        def done():
+            if len(group) > 1:
+                out.extend((held[0], x, y) for x, y in forest(group, radius))
+
         for batch in batches:
-            for path, key, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy().view(np.uint64).tolist()):
-                if (path, key) != held:
-                    if len(group) > 1:
-                        out += forest(group, radius)
-                    held, group = (path, key), []
+            for *own, fp in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).to_numpy().view(np.uint64).tolist()):
+                if own != held:
+                    done()
+                    held, group = own, []
                 group.append(fp)
             if len(out) > 50000:
                 yield _pairs(out)
                 out = []
-        if len(group) > 1:
-            out += forest(group, radius)
+        done()
         yield _pairs(out)
 
-    def _pairs(links: list[tuple[int, int]]):
-        both = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["a", "b"])
+    def _pairs(links: list[tuple[int, int, int]]):
+        both = np.array([x[1:] for x in links], np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int32()), pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["view", "a", "b"])
 
-    return shards.repartition("path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(run, "a long, b long")
+    return shards.repartition(*SHARD_KEY).sortWithinPartitions(*SHARD_KEY, "fp").mapInArrow(run, "view int, a long, b long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Links (a < b) among the distinct fingerprints ``fp`` whose components equal those of all links within the radius."""
+    """Links (view, a < b) among the distinct fingerprints (view, fp) of each view; their components equal those of all links within the radius."""
     if radius > 3:
         raise ValueError("four blocks find at most three differing bits")
     found = None
     level = 2
     while True:
         keyed = _keyed(fps, level)
-        sizes = keyed.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
-        # A division splits all that is left into four, so what agrees on all blocks so far but one must be looked for at each path again.
-        sizes = stored(sizes, "shard-sizes")
+        sizes = stored(keyed.groupBy(*SHARD_KEY).agg(F.count("*").alias("n")).where("n > 1"), "shard-sizes")
         last = level >= 5
         light = sizes if last else sizes.where(F.col("n") <= shard)
-        part = _shard_forests(keyed.join(light.select("path", "key"), ["path", "key"]), radius)
+        part = _shard_forests(keyed.join(light.select(*SHARD_KEY), SHARD_KEY), radius)
         found = part if found is None else found.unionByName(part)
         if last or not sizes.where(F.col("n") > shard).limit(1).count():
             return found.distinct()
-        heavy = sizes.where(F.col("n") > shard).select("path", "key")
-        fps = stored(keyed.join(heavy, ["path", "key"]).select("fp").distinct(), "heavy-fps")
+        # both ends of a link that a large shard hides lie in that shard, so only its members go on
+        heavy = sizes.where(F.col("n") > shard).select(*SHARD_KEY)
+        fps = stored(keyed.join(heavy, SHARD_KEY).select("view", "fp").distinct(), "heavy-fps")
         level += 1
 
 
@@ -260,7 +263,7 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 def classes(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """prints: doc_id, fp. Returns fp and component_id, the smallest doc_id of its class."""
     own = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fps")
-    found = components(links(own.select("fp"), radius, shard))
+    found = components(links(own.select(F.lit(0).alias("view"), "fp"), radius, shard))
     rooted = own.join(found, own.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted-fps")
     least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "class-ids")
@@ -277,35 +280,100 @@ def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def one_of_each(docs: DataFrame, widths: tuple[int, ...] = (3, 5), radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """docs with one row of each class: the smallest doc_id (null last), then the smallest text hash.
+#: Views of a text for similarity search: independent fingerprints of its set of words. A pair whose five-word shingles are
+#: 0.8 similar differs in about 4 bits of a view; six views find 95 % of such pairs within three bits, more at higher similarity.
+VIEWS, WIDTH, SIMILARITY, SKETCH = 6, 5, 0.8, 256
+_VIEW_SEEDS = [0x9E3779B97F4A7C15 * (k + 1) % (1 << 64) for k in range(64)]
+
+
+def word_set_fingerprints(text: bytes, views: int = VIEWS) -> list[int]:
+    """SimHashes of the set of lower-cased words under ``views`` independent hashes."""
+    words = set(text.lower().split())
+    if not words:
+        return [0] * views
+    own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    out = []
+    for k in range(views):
+        h = mix(own ^ U64(_VIEW_SEEDS[k]))
+        counts = np.bincount((h.view(np.uint8).reshape(len(h), 8) + _BYTE_PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
+        out.append(int.from_bytes(np.packbits(counts.ravel() * 2 > len(h), bitorder="little").tobytes(), "little"))
+    return out
+
+
+def shingle_sketch(text: bytes, width: int = WIDTH, size: int = SKETCH) -> np.ndarray:
+    """The least ``size`` of the distinct 32-bit shingle hashes, sorted; all of them where there are fewer."""
+    return np.unique((shingle_hashes(text, width) >> U64(32)).astype(np.uint32))[:size]
+
+
+def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """Jaccard similarity of two shingle sets from their sketches: exact up to ``size`` shingles in all, else an estimate (deviation 0.025)."""
+    both = np.union1d(a, b)[:size]
+    if not len(both):
+        return 1.0
+    return float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).mean())
+
+
+def _search_rows(texts: DataFrame, views: int) -> DataFrame:
+    """texts: tk, many, t. (tk, many, fps array, sketch binary)."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            raw = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
+            fps = [np.array(word_set_fingerprints(t, views), np.uint64).view(np.int64).tolist() for t in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64())), pa.array([shingle_sketch(t).tobytes() for t in raw], pa.binary())], names=["tk", "many", "fps", "sketch"])
+
+    return texts.select("tk", "many", "t").mapInArrow(run, "tk binary, many boolean, fps array<long>, sketch binary")
+
+
+def similar_texts(texts: DataFrame, views: int = VIEWS, least: float = SIMILARITY, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """Links (a, b) between texts (tk, t) that are ``least`` similar in five-word shingles; ``many`` marks keys that may repeat.
+
+    BK-trees find pairs of view fingerprints within the radius. Texts with one fingerprint are linked to
+    the least of them, linked fingerprints by their least texts; each such pair is then verified.
+    """
+    import pyarrow as pa
+
+    rows = stored(_search_rows(texts, views), "search-rows")
+    rows = rows.where("not many").unionByName(rows.where("many").dropDuplicates(["tk"])).drop("many")
+    flat = rows.select("tk", F.posexplode("fps").alias("view", "fp"))
+    heads = stored(flat.groupBy("view", "fp").agg(F.min("tk").alias("head")), "view-heads")
+    stars = flat.join(heads, ["view", "fp"]).where("tk <> head").select(F.col("head").alias("a"), F.col("tk").alias("b"))
+    found = links(heads.select("view", "fp"), radius, shard)
+    across = found.join(heads.select("view", F.col("fp").alias("a"), F.col("head").alias("x")), ["view", "a"]).join(heads.select("view", F.col("fp").alias("b"), F.col("head").alias("y")), ["view", "b"])
+    pairs = stars.unionByName(across.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    sketch = lambda c: rows.select(F.col("tk").alias(c), F.col("sketch").alias(f"s{c}"))
+    both = stored(pairs, "similar-pairs").join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sa", "sb")
+
+    def verify(batches: Iterator) -> Iterator:
+        for batch in batches:
+            keep = [similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) >= least for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(verify, "a binary, b binary")
+
+
+def one_of_each(docs: DataFrame, views: int = VIEWS, least: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each class of equal or similar texts: the smallest doc_id (null last), then the least text key.
 
-    Classes link texts whose fingerprints over shingles of any of ``widths`` words lie within the
-    radius, so a copy that one width misses may be found by another. Texts travel once, to meet the
-    list of rows that stay.
+    Texts travel once, to meet the list of rows that stay.
     """
-    keyed = docs.select(*row_key(), text_or_empty().alias("_t"))
-    rows = keyed
-    for w in widths:
-        rows = with_fingerprint(rows.select(*(F.col(c) for c in rows.columns if c != "_t"), "_t"), *rows.drop("_t").columns, F.col("_t").alias("_kept"), width=w, text="_t").withColumnRenamed("fp", f"fp{w}").withColumnRenamed("_kept", "_t")
-    rows = stored(rows.drop("_t"), "fingerprints")
-    # Nodes of the graph are fingerprints; a text ties its fingerprints of different widths together.
-    edges = None
-    for w in widths:
-        own = rows.select(F.col(f"fp{w}").alias("fp")).distinct()
-        found = links(own, radius, shard).select(F.xxhash64(F.lit(w), "a").alias("a"), F.xxhash64(F.lit(w), "b").alias("b"))
-        edges = found if edges is None else edges.unionByName(found)
-    node = lambda w: F.xxhash64(F.lit(w), f"fp{w}")
-    for w in widths[1:]:
-        edges = edges.unionByName(rows.select(node(widths[0]).alias("a"), node(w).alias("b")).distinct())
-    roots = components(edges)
-    rows = rows.withColumn("node", node(widths[0])).join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
-    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
-    firsts = rows.groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.text_hash")
-    counts = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n"))
-    on = F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.text_hash") == F.col("c.text_hash"))
-    stay = stored(firsts.alias("f").join(counts.alias("c"), on).select("f.doc_id", "f.text_hash", "c._n"), "stay")
-    on = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._text_hash") == F.col("s.text_hash"))
-    kept = docs.withColumn("_text_hash", row_key()[1]).alias("d").join(stay.alias("s"), on).select("d.*", "s._n")
-    single, repeated = kept.where("_n = 1"), kept.where("_n > 1").dropDuplicates(["doc_id", "_text_hash"])
+    key = F.unhex(F.md5(text_or_empty().cast("binary")))
+    rows = stored(docs.select(F.col("doc_id"), key.alias("tk")), "text-keys")
+    own = rows.groupBy("tk").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    texts = docs.select(key.alias("tk"), text_or_empty().alias("t"), F.col("doc_id").alias("_d"))
+    # of equal texts only the first goes on
+    firsts = stored(own, "text-firsts")
+    unique = texts.join(firsts.where("n > 1").select("tk", "first", "n"), "tk", "left").where(F.col("n").isNull() | F.col("_d").eqNullSafe(F.col("first"))).select("tk", F.col("n").isNotNull().alias("many"), "t")
+    found = stored(similar_texts(unique, views, least), "similar-texts")
+    roots = components(found)
+    place = F.struct(F.col("first").isNull().alias("a"), F.col("first").alias("doc_id"), F.col("tk").alias("tk"))
+    tops = firsts.join(roots, firsts.tk == roots.node, "left").groupBy(F.coalesce("root", "tk").alias("root")).agg(F.min(place).alias("p"))
+    stay = tops.select(F.col("p.doc_id").alias("first"), F.col("p.tk").alias("tk"))
+    counts = rows.groupBy("doc_id", "tk").agg(F.count("*").alias("_n"))
+    on = F.col("f.first").eqNullSafe(F.col("c.doc_id")) & (F.col("f.tk") == F.col("c.tk"))
+    stay = stored(stay.alias("f").join(counts.alias("c"), on).select("c.doc_id", "c.tk", "c._n"), "stay")
+    on = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._tk") == F.col("s.tk"))
+    kept = docs.withColumn("_tk", key).alias("d").join(stay.alias("s"), on).select("d.*", "s._n")
+    single, repeated = kept.where("_n = 1"), kept.where("_n > 1").dropDuplicates(["doc_id", "_tk"])
     return single.unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
