@@ -249,7 +249,7 @@ def test_streams(spark, tmp_path):
     from lawloom.streaming import snapshots
 
     rows = [("a", 0, 0, 1, 1.0), ("a", 0, 5, 2, 3.0), ("b", 0, 1, 3, 4.0), ("a", 86400, 90000, 4, 7.0)]
-    df = spark.createDataFrame(rows, "entity string, e long, a long, revision_id long, target double").select("entity", F.timestamp_seconds("e").alias("event_time"), F.timestamp_seconds("a").alias("available_at"), "revision_id", "target")
+    df = spark.createDataFrame(rows, "entity string, e long, a long, revision_id long, target double").select("entity", F.timestamp_seconds(F.col("e") + 10**9).alias("event_time"), F.timestamp_seconds(F.col("a") + 10**9).alias("available_at"), "revision_id", "target")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = lambda: spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
 
