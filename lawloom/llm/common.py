@@ -15,7 +15,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that a vectorised step handles at once (a longer text is handled whole).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

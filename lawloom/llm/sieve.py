@@ -7,8 +7,8 @@ anchor is estimated below 2 is in one text only, and no repeated window is lost.
 2 / (window - gram + 2) of all units, which is what makes the sketch small.
 
 Partition sketches: each task of the pass over the texts emits, for each slice of the hash space, its
-anchors; the slice's task adds up their counters (two rows, saturating) and reads the estimates. The
-number of slices follows the bytes of the corpus, so a slice is bounded whatever the size; nothing is
+anchors; the slice's task adds up their counters (two rows, saturating) and reads the estimates, which go back to
+their texts by buckets. The number of slices follows the bytes of the corpus, so a slice is bounded whatever the size; nothing is
 broadcast or collected.
 """
 
@@ -64,6 +64,7 @@ def repeated_anchors(docs: DataFrame, units: Units, window: int, gram: int, byte
 
     total = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     slices = max(1, -(-int(total) // bytes_per_slice))
+    buckets = 8 * slices
 
     def emit(batches: Iterator) -> Iterator:
         held: list[tuple[np.ndarray, np.ndarray]] = []  # anchors and digests
@@ -118,10 +119,13 @@ def repeated_anchors(docs: DataFrame, units: Units, window: int, gram: int, byte
             cells, digests = cells[new], digests[new]
             far = estimates(cells, width) > 1
             cells, digests = cells[far].astype(np.int64) | (own << 31), digests[far]
-            cut = np.flatnonzero(np.diff(digests)) + 1
-            ends = np.concatenate([cut, [len(digests)]]) if len(digests) else cut
-            begins = np.concatenate([[0], cut]) if len(digests) else cut
-            return pa.RecordBatch.from_arrays([pa.array(digests[begins].view(np.int64)), pa.array([cells[i:j].tobytes() for i, j in zip(begins, ends)], pa.binary())], names=["d64", "anchors"])
+            bucket = (digests >> U64(40)) % U64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, cells, digests = bucket[order], cells[order], digests[order]
+            at = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(at))
+            part = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in full], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), part(digests), part(cells)], names=["bucket", "texts", "anchors"])
 
         for batch in batches:
             for s, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -133,8 +137,32 @@ def repeated_anchors(docs: DataFrame, units: Units, window: int, gram: int, byte
         if rows:
             yield judged()
 
+    def by_text(batches: Iterator) -> Iterator:
+        """Rows of a bucket follow one another; one row for each text."""
+        own, rows = None, []
+
+        def done():
+            digests = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
+            cells = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])
+            order = np.argsort(digests, kind="stable")
+            digests, cells = digests[order], cells[order]
+            begins = np.flatnonzero(np.concatenate([[True], digests[1:] != digests[:-1]]))
+            ends = np.concatenate([begins[1:], [len(digests)]])
+            return pa.RecordBatch.from_arrays([pa.array(digests[begins].view(np.int64)), pa.array([cells[i:j].tobytes() for i, j in zip(begins, ends)], pa.binary())], names=["d64", "anchors"])
+
+        for batch in batches:
+            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if k != own and rows:
+                    yield done()
+                    rows = []
+                own = k
+                rows.append(row)
+        if rows:
+            yield done()
+
     sketches = docs.select("t", "d64").mapInArrow(emit, "slice int, cells binary, index binary, texts binary")
-    return sketches.repartition(max(slices, 2), "slice").sortWithinPartitions("slice").mapInArrow(merge, "d64 long, anchors binary"), slices
+    judged_ = sketches.repartition(max(slices, 2), "slice").sortWithinPartitions("slice").mapInArrow(merge, "bucket int, texts binary, anchors binary")
+    return judged_.repartition(max(slices, 2), "bucket").sortWithinPartitions("bucket").mapInArrow(by_text, "d64 long, anchors binary"), slices
 
 
 def sifted(docs: DataFrame, units: Units, window: int, gram: int, name: str, **options) -> tuple[DataFrame, int]:

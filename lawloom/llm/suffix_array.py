@@ -6,10 +6,9 @@
    equal windows lies in one task. Equal stretches are reduced to one with the smallest doc_id, in each
    batch before the shuffle and again after it.
 3. A task turns shards of stretches into Burrows-Wheeler transforms and merges them: the interleave of
-   the shards' rows is refined one character at a time, by stable counting passes over the merged
-   transform (no suffix is sorted again). After ``window`` rounds the blocks of the interleave are the
-   intervals with a common prefix of ``window`` bytes; the round in which a block split off gives the
-   common prefix length of its neighbours.
+   the shards' rows is refined until its blocks are the intervals with a common prefix of ``window``
+   bytes; settled blocks are skipped and no suffix is sorted again. The steps' blocks also give the
+   common prefix of any two neighbours. A stretch alone at its anchor needs no merge.
 4. An interval's smallest doc_id is handed back to every place of its stretches by an equi-join.
 
 Edge cases: null text has no bytes; a null doc_id is never smaller, so nothing is removed there and it
@@ -49,66 +48,141 @@ class Shard:
     begins: np.ndarray
 
 
+def _small(a: np.ndarray, most: int) -> np.ndarray:
+    """As 8 bits where the values fit: counting passes over bytes are the fastest."""
+    return a.astype(np.uint8 if most < 256 else np.uint16)
+
+
 def build_shard(strings: list[bytes], window: int = WINDOW) -> Shard:
-    """Suffixes ordered by their first ``window`` bytes, then by end mark or by place: prefix doubling."""
+    """Suffixes ordered by their first ``window`` bytes at least, then by end mark: sorted by 8 bytes, then prefix doubling.
+
+    A suffix whose end mark lies within the bytes compared is told from its equals by its string.
+    Equals beyond the window may come in any order: they belong to one interval.
+    """
     lengths = np.array([len(s) + 1 for s in strings], np.int64)
     begins = np.concatenate([[0], np.cumsum(lengths)])
     n = int(begins[-1])
-    text = np.zeros(n, np.int64)
-    raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+    raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint64) + np.uint64(1)
     ends = begins[1:] - 1
-    text[:] = raw + len(strings)
-    text[ends] = np.arange(len(strings))  # marks differ and are below all bytes
-    rank = text
-    order = np.argsort(rank, kind="stable")
-    k = 1
-    while k < window:
-        follow = np.full(n, -1, np.int64)
-        follow[: n - k] = rank[k:]
-        key = rank * (n + len(strings) + 300) + follow + 1
-        order = np.argsort(key, kind="stable")
+    raw[ends] = 0
+    string = np.repeat(np.arange(len(strings), dtype=np.int64), lengths)
+    left = ends[string] - np.arange(n)  # bytes before the end mark
+    key = np.zeros(n, np.uint64)
+    wide = int(raw.max(initial=0)) > 255
+    k = 7 if wide else 8
+    bits = np.uint64(9 if wide else 8)
+    for j in range(k):
+        part = np.zeros(n, np.uint64)
+        part[: n - j] = raw[j:]
+        part[left < j] = 0
+        key = key << bits | part
+    while True:
+        order = np.argsort(key)
+        sorted_key = key[order]
         new = np.ones(n, np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
+        new[1:] = sorted_key[1:] != sorted_key[:-1]
+        if k >= window:
+            break
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
-        if new.all():
-            break
+        follow = np.empty(n, np.int64)
+        follow[: n - k] = rank[k:] + len(strings)
+        near = left < k
+        follow[near] = string[near]
+        key = rank.astype(np.uint64) << np.uint64(32) | follow.astype(np.uint64)
         k *= 2
-    before = np.empty(n, np.uint16)
-    before[1:] = (raw[:-1]).astype(np.uint16)
+    before = np.zeros(n, np.uint16)
+    before[1:] = raw[:-1]
     before[begins[:-1]] = 0
-    return Shard(before[order], order, begins)
+    return Shard(_small(before[order], int(before.max(initial=0))), order, begins)
+
 
+@dataclass
+class Merged:
+    """Shards' rows in common order. rows: shard row (counted through all shards) at each place; starts: where a block of rows with
+    one prefix of ``depth`` characters begins; links: for each length of a refinement step, the row that many characters on, and
+    the block of each row by that many characters."""
+
+    rows: np.ndarray
+    starts: np.ndarray
+    depth: int
+    links: list[tuple[int, np.ndarray, np.ndarray]]
 
-def merge_shards(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' rows by their first ``depth`` characters, and each row's common prefix with the row before it (at most depth).
 
-    Holt and McMillan's refinement: with the rows in order of p characters, a stable pass over the
-    merged transform puts the preceding suffixes in order of p + 1. End marks keep the order of the
-    shards and of their strings.
+def merge_shards(shards: list[Shard], depth: int) -> Merged:
+    """Merge transforms by refining the interleave of their rows.
+
+    Only the transforms are read: the k-th occurrence of a byte in a shard's transform belongs to the
+    shard's k-th row that starts with it, which links each row to the row one character on. The
+    interleave by one character is a counting pass; a refinement orders the rows of each open block by
+    the blocks of their links, from k characters to 2k (last: to ``depth``). Settled blocks aren't
+    touched again (Holt and McMillan's interval skipping, with doubled steps), and no suffix is sorted
+    anew. An end mark is a block of its own.
     """
-    marks = [int((s.symbols == 0).sum()) for s in shards]
-    origin = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.symbols) for s in shards])
-    at_marks = np.repeat(np.arange(len(shards), dtype=np.uint16), marks)
-    n_marks = sum(marks)
-    symbols = np.concatenate([s.symbols for s in shards])
-    block = np.zeros(len(origin), np.int64)
-    prefix = np.full(len(origin), -1, np.int16)
-    if len(prefix):
-        prefix[0] = 0
-    for p in range(depth):
-        merged = np.empty(len(origin), np.uint16)
-        merged[np.argsort(origin, kind="stable")] = symbols
-        order = np.argsort(merged, kind="stable")[n_marks:]  # rows by preceding symbol; those before a first byte are the marks
-        char, from_block = merged[order], block[order]
-        origin = np.concatenate([at_marks, origin[order]])
-        new = np.ones(len(origin), bool)
-        if len(order):
-            new[n_marks + 1 :] = (char[1:] != char[:-1]) | (from_block[1:] != from_block[:-1])
-        block = np.cumsum(new)
-        prefix[new & (prefix < 0)] = p
-    prefix[prefix < 0] = depth
-    return origin, prefix
+    marks, link, first, at = [], [], [], 0
+    for s in shards:
+        order = np.argsort(s.symbols, kind="stable")
+        m = int((s.symbols == 0).sum())
+        one = order.astype(np.int64)
+        one[:m] = np.arange(m)  # a mark leads to itself
+        marks.append(m)
+        link.append(one + at)
+        chars = s.symbols[order]
+        chars[:m] = 0
+        first.append(chars)
+        at += len(order)
+    link, first = np.concatenate(link), np.concatenate(first)
+    rows = np.argsort(first, kind="stable")
+    starts = np.ones(at, bool)
+    starts[1:] = first[rows][1:] != first[rows][:-1]
+    starts[: sum(marks)] = True
+    place = np.maximum.accumulate(np.where(starts, np.arange(at), 0))
+    block = np.empty(at, np.int64)
+    block[rows] = place
+    k, links = 1, []
+    while k < depth:
+        links.append((k, link, block.copy()))
+        step = min(k, depth - k)
+        jump = link if step == k else _jump(links, step)
+        size_one = starts.copy()
+        size_one[:-1] &= starts[1:]
+        open_at = np.flatnonzero(~size_one)
+        if len(open_at):
+            own = rows[open_at]
+            key = block[own] << 32 | block[jump[own]]
+            order = np.argsort(key)
+            own, key = own[order], key[order]
+            rows[open_at] = own
+            new = np.ones(len(own), bool)
+            new[1:] = key[1:] != key[:-1]
+            starts[open_at] = new
+            block[own] = np.maximum.accumulate(np.where(new, open_at, 0))
+        link = link[link]
+        k += step
+    links.append((k, link, block))
+    return Merged(rows, starts, depth, links)
+
+
+def _jump(links: list[tuple[int, np.ndarray, np.ndarray]], step: int) -> np.ndarray:
+    out = None
+    for k, link, _ in reversed(links):
+        if step >= k:
+            out = link if out is None else link[out]
+            step -= k
+    return out
+
+
+def common_prefixes(merged: Merged) -> np.ndarray:
+    """Common prefix of each place with the place before (at most depth), from the blocks of the refinement steps; 0 at the first."""
+    a, b = merged.rows[:-1].copy(), merged.rows[1:].copy()
+    out = np.zeros(len(merged.rows), np.int64)
+    whole = ~merged.starts[1:]
+    for k, link, block in reversed([x for x in merged.links if x[0] < merged.depth]):
+        same = (block[a] == block[b]) & ~whole
+        out[1:][same] += k
+        a, b = np.where(same, link[a], a), np.where(same, link[b], b)
+    out[1:][whole] = merged.depth
+    return np.minimum(out, merged.depth)
 
 
 def interval_minima(strings: list[bytes], docs: np.ndarray, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -124,19 +198,18 @@ def interval_minima(strings: list[bytes], docs: np.ndarray, window: int = WINDOW
         size += len(s) + 1
     if held:
         shards.append(build_shard(held, window))
-    origin, prefix = merge_shards(shards, window)
-    place = np.argsort(origin, kind="stable")  # merged row of each shard row
-    string, offset, at = np.empty(len(origin), np.int64), np.empty(len(origin), np.int64), 0
+    merged = merge_shards(shards, window)
+    string, offset = [], []
     for shard, first in zip(shards, firsts):
         own = np.searchsorted(shard.begins, shard.rows, side="right") - 1
-        rows = place[at : at + len(shard.rows)]
-        string[rows], offset[rows] = own + first, shard.rows - shard.begins[own]
-        at += len(shard.rows)
+        string.append(own + first)
+        offset.append(shard.rows - shard.begins[own])
+    string, offset = np.concatenate(string)[merged.rows], np.concatenate(offset)[merged.rows]
     lengths = np.array([len(s) for s in strings], np.int64)
     whole = offset + window <= lengths[string]
-    starts = np.flatnonzero(prefix < window)
+    starts = np.flatnonzero(merged.starts)
     least = np.minimum.reduceat(np.where(whole, docs[string], np.iinfo(np.int64).max), starts)
-    value = np.repeat(least, np.diff(np.concatenate([starts, [len(prefix)]])))
+    value = np.repeat(least, np.diff(np.concatenate([starts, [len(string)]])))
     out_at = np.concatenate([[0], np.cumsum(np.maximum(lengths - window + 1, 0))])
     flat = np.empty(int(out_at[-1]), np.int64)
     flat[out_at[string[whole]] + offset[whole]] = value[whole]
@@ -178,7 +251,7 @@ def _stretches(rows: DataFrame, slices: int, window: int, gram: int, places: boo
     """Runs of windows with one anchor that is estimated repeated.
 
     places: (s1, s2, doc_id, tag, at) of each. Otherwise (anchor, s1, s2, doc, bytes), the smallest
-    doc of equal stretches in a chunk of texts.
+    doc of equal stretches in a batch of texts.
     """
     import pyarrow as pa
 
@@ -189,6 +262,7 @@ def _stretches(rows: DataFrame, slices: int, window: int, gram: int, places: boo
             data, offsets = byte_columns(batch.column(2))
             kept = batch.column(3).to_pylist()
             ids = batch.column(0).to_numpy().astype(np.int64)
+            held: list = []
             for a, b in chunks(offsets):
                 raw = data[offsets[a] : offsets[b]]
                 values, first = byte_units(raw, offsets[a : b + 1] - offsets[a])
@@ -217,51 +291,85 @@ def _stretches(rows: DataFrame, slices: int, window: int, gram: int, places: boo
                 if places:
                     of = pa.array(a + own_row)
                     yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), batch.column(0).take(of), batch.column(1).take(of), pa.array((lo - first[own_row]).astype(np.int32))], names=["s1", "s2", "doc_id", "tag", "at"])
-                else:
-                    doc = ids[a + own_row]
-                    order = np.lexsort((doc, s2, s1))
-                    lead = np.ones(len(order), bool)
-                    lead[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
-                    k = order[lead]
-                    whole = raw.tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchors[at[begin[k]]].view(np.int64)), pa.array(s1[k]), pa.array(s2[k]), pa.array(doc[k]), pa.array([whole[i:j] for i, j in zip(lo[k].tolist(), hi[k].tolist())], pa.binary())],
-                        names=["anchor", "s1", "s2", "doc", "bytes"],
-                    )
+                    continue
+                held.append((anchors[at[begin]].view(np.int64), s1, s2, ids[a + own_row], offsets[a] + lo, offsets[a] + hi))
+            if held:
+                anchor, s1, s2, doc, lo, hi = (np.concatenate(x) for x in zip(*held))
+                order = np.lexsort((doc, s2, s1))
+                lead = np.ones(len(order), bool)
+                lead[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
+                k = order[lead]
+                whole = data.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[k]), pa.array(s1[k]), pa.array(s2[k]), pa.array(doc[k]), pa.array([whole[i:j] for i, j in zip(lo[k].tolist(), hi[k].tolist())], pa.binary())],
+                    names=["anchor", "s1", "s2", "doc", "bytes"],
+                )
 
     schema = f"s1 long, s2 long, doc_id {kind}, tag int, at int" if places else "anchor long, s1 long, s2 long, doc long, bytes binary"
     return rows.select("doc_id", "tag", "t", "anchors").mapInArrow(run, schema)
 
 
+def _minima_blocks(rows, window: int) -> Iterator:
+    """rows: an Arrow table of distinct stretches sorted by anchor. (s1, s2, minima) batches, a block of anchors at a time."""
+    import pyarrow as pa
+
+    if not rows.num_rows:
+        return
+    anchor, docs = rows.column(0).to_numpy(), rows.column(3).to_numpy()
+    data = rows.column(4).combine_chunks()
+    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+    lengths = np.diff(np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]).astype(np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    group = np.diff(np.concatenate([edge, [len(anchor)]]))
+    # equal windows have equal anchors: a stretch alone at its anchor shares no window, so its minimum is its own
+    alone = np.repeat(group == 1, group)
+    total = np.cumsum(np.where(alone, 0, lengths + 1))
+    i = 0
+    while i < len(anchor):
+        j = int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK_BYTES, side="right"))
+        j = len(anchor) if j >= len(anchor) else int(edge[max(np.searchsorted(edge, j, side="right") - 1, 0)])
+        if j <= i:  # one anchor fills more than a block
+            at = int(np.searchsorted(edge, i, side="right"))
+            j = int(edge[at]) if at < len(edge) else len(anchor)
+        n = lengths[i:j] - window + 1
+        flat = np.repeat(docs[i:j], n)
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        some = np.flatnonzero(~alone[i:j])
+        if len(some):
+            own = interval_minima(data.take(pa.array(i + some)).to_pylist(), docs[i + some], window)
+            flat[np.repeat(~alone[i:j], n)] = np.concatenate(own)
+        yield pa.RecordBatch.from_arrays([rows.column(1).slice(i, j - i).combine_chunks(), rows.column(2).slice(i, j - i).combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["s1", "s2", "minima"])
+        i = j
+
+
 def _merged(stretches: DataFrame, window: int, partitions: int) -> DataFrame:
     """(s1, s2, minima): for each distinct stretch, the smallest doc of each of its windows."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
-        # Rows come sorted by anchor, stretch, doc. A block ends between anchors; an anchor with more stretches than a block has bytes makes a larger block of more shards.
-        keys: list[tuple[int, int]] = []
-        strings: list[bytes] = []
-        docs: list[int] = []
+        # Rows come sorted by anchor, stretch, doc, so the first of equal stretches has the smallest doc. A block ends between
+        # anchors; an anchor with more stretches than a block has bytes makes a larger block of more shards.
+        held: list = []
         size, last = 0, None
-
-        def done():
-            found = interval_minima(strings, np.array(docs, np.int64), window)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["s1", "s2", "minima"])
-
         for batch in batches:
-            for anchor, s1, s2, doc, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if size > BLOCK_BYTES and anchor != last:
-                    yield done()
-                    keys, strings, docs, size = [], [], [], 0
-                last = anchor
-                if keys and keys[-1] == (s1, s2):
-                    continue
-                keys.append((s1, s2))
-                strings.append(data)
-                docs.append(doc)
-                size += len(data) + 1
-        if keys:
-            yield done()
+            anchor, s1, s2 = (batch.column(i).to_numpy() for i in range(3))
+            new = np.ones(len(anchor), bool)
+            new[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]) | (anchor[1:] != anchor[:-1])
+            if len(anchor) and last == (anchor[0], s1[0], s2[0]):
+                new[0] = False
+            last = (anchor[-1], s1[-1], s2[-1]) if len(anchor) else last
+            batch = batch.filter(pa.array(new))
+            held.append(batch)
+            size += batch.nbytes
+            if size > BLOCK_BYTES * 2:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                keys = whole.column(0).to_numpy()
+                cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if len(keys) and keys[0] != keys[-1] else 0
+                yield from _minima_blocks(whole.slice(0, cut), window)
+                held = whole.slice(cut).to_batches()
+                size = sum(x.nbytes for x in held)
+        if held:
+            yield from _minima_blocks(pa.Table.from_batches(held).combine_chunks(), window)
 
     dealt = stretches.repartition(partitions, "anchor").sortWithinPartitions("anchor", "s1", "s2", "doc")
     return dealt.mapInArrow(run, "s1 long, s2 long, minima array<long>")
@@ -276,12 +384,19 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             ids = batch.column(0).to_pylist()
-            for doc, text, found in zip(ids, batch.column(2), batch.column(3)):
+            found = batch.column(3)
+            begin = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+            structs = found.values
+            places, lists = structs.field(0).to_numpy(), structs.field(1)
+            inner = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+            least = lists.values.to_numpy()
+            for doc, text, a, b in zip(ids, batch.column(2), begin[:-1].tolist(), begin[1:].tolist()):
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 gone = np.zeros(len(data), bool)
-                if found.is_valid:
-                    starts = np.concatenate([x["at"] + np.flatnonzero(np.array(x["minima"], np.int64) < doc) for x in found.as_py()])
-                    gone = covered(starts.astype(np.int64), len(data), window)
+                if b > a:
+                    n = np.diff(inner[a : b + 1])
+                    starts = np.repeat(places[a:b] - inner[a:b], n) + np.arange(inner[a], inner[b])
+                    gone = covered(starts[least[inner[a] : inner[b]] < doc].astype(np.int64), len(data), window)
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
                 out[0].append(len(data))
                 out[1].append(int(gone.sum()))

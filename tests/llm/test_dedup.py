@@ -75,21 +75,20 @@ def test_merged_transforms_give_prefixes_and_minima(shard_bytes):
         want = [min(d for t, d in zip(strings, docs) if s[i : i + 6] in t) for i in range(len(s) - 5)]
         assert own.tolist() == want
     shards = [suffix_array.build_shard(strings[:3], 6), suffix_array.build_shard(strings[3:], 6)]
-    origin, prefix = suffix_array.merge_shards(shards, 6)
+    merged = suffix_array.merge_shards(shards, 6)
+    prefix = suffix_array.common_prefixes(merged)
     suffixes = []
-    for k, (shard, part) in enumerate(zip(shards, (strings[:3], strings[3:]))):
+    for shard, part in zip(shards, (strings[:3], strings[3:])):
         for r in shard.rows:
             i = int(np.searchsorted(shard.begins, r, side="right")) - 1
-            suffixes.append((part[i][r - shard.begins[i] :][:6], k))
-    place = np.argsort(origin, kind="stable")
-    merged = [None] * len(suffixes)
-    for row, (s, _) in zip(place, suffixes):
-        merged[row] = s
-    assert all(a <= b for a, b in zip(merged, merged[1:]))
-    for i in range(1, len(merged)):
-        a, b = merged[i - 1], merged[i]
+            suffixes.append(part[i][r - shard.begins[i] :][:6])
+    ordered = [suffixes[r] for r in merged.rows]
+    assert sorted(merged.rows.tolist()) == list(range(len(suffixes)))
+    assert all(a <= b for a, b in zip(ordered, ordered[1:]))
+    for i in range(1, len(ordered)):
+        a, b = ordered[i - 1], ordered[i]
         n = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
-        assert prefix[i] == min(n, 6)
+        assert prefix[i] == n and bool(merged.starts[i]) == (n < 6)
 
 
 def test_estimates_are_never_low():
