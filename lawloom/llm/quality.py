@@ -30,30 +30,33 @@ TREES, DEPTH, CUTS, RATE, PENALTY, THRESHOLD = 24, 3, 24, 0.3, 0.002, 0.3
 FUNCTION_WORDS = "the of and to in is that for it de la le et les des que el los y en der die und das von zu"
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Name -> column. Each is a count or a ratio in double."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
-    chars = F.length(text).cast("double")
-    words = count(WORD_RE)
-    lines = F.split(text, "\n")
+def counts(text: Column) -> dict[str, Column]:
+    """What is counted in a text, in double: each reads the text once."""
+    stripped = lambda cs: F.length(text) - F.length(F.translate(text, cs, ""))
     tokens = F.regexp_extract_all(text, F.lit(f"({WORD_RE})"), 1)
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    stripped = lambda cs: chars - F.length(F.translate(text, cs, "")).cast("double")
-    letters_up = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("double")
+    lines = F.split(text, "\n")
+    word = rf"(?<![^\x20\x09-\x0D])(?:{'|'.join(FUNCTION_WORDS.split())})(?![^\x20\x09-\x0D,.])"
+    out = {
+        "chars": F.length(text), "words": F.regexp_count(text, F.lit(WORD_RE)), "upper": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")), "symbols": stripped("#$%&*|+=<>{}[]\\^~_@"),
+        "marks": stripped("!?"), "stops": stripped(".,;:"), "digits": stripped("0123456789"), "distinct": F.size(F.array_distinct(tokens)), "lines": F.size(lines),
+        "distinct_lines": F.size(F.array_distinct(lines)), "function": F.regexp_count(text, F.lit(word)),
+    }
+    return {k: c.cast("double") for k, c in out.items()}
+
+
+def ratios(n) -> dict[str, Column]:
+    """The statistics, from counts (n: name -> column)."""
+    ratio = lambda a, b: F.when(n(b) > 0, n(a) / n(b)).otherwise(F.lit(0.0))
     return {
-        "chars": chars,
-        "words": words,
-        "word_len": ratio(chars, words),
-        "upper": ratio(letters_up, chars),
-        "symbols": ratio(stripped("#$%&*|+=<>{}[]\\^~_@"), words),
-        "marks": ratio(stripped("!?"), words),
-        "stops": ratio(stripped(".,;:"), words),
-        "digits": ratio(stripped("0123456789"), chars),
-        "distinct": ratio(F.size(F.array_distinct(tokens)).cast("double"), words),
-        "line_len": ratio(chars, F.size(lines).cast("double")),
-        "line_distinct": ratio(F.size(F.array_distinct(lines)).cast("double"), F.size(lines).cast("double")),
-        "function": ratio(count(rf"(?<![^\x20\x09-\x0D])(?:{'|'.join(FUNCTION_WORDS.split())})(?![^\x20\x09-\x0D,.])"), words),
-    }
+        "chars": n("chars"), "words": n("words"), "word_len": ratio("chars", "words"), "upper": ratio("upper", "chars"), "symbols": ratio("symbols", "words"), "marks": ratio("marks", "words"),
+        "stops": ratio("stops", "words"), "digits": ratio("digits", "chars"), "distinct": ratio("distinct", "words"), "line_len": ratio("chars", "lines"), "line_distinct": ratio("distinct_lines", "lines"),
+        "function": ratio("function", "words"),
+    }
+
+
+def statistics(text: Column) -> dict[str, Column]:
+    """Name -> column of a text. Each is a count or a ratio in double."""
+    return ratios(counts(text).__getitem__)
 
 
 NAMES = ["chars", "words", "word_len", "upper", "symbols", "marks", "stops", "digits", "distinct", "line_len", "line_distinct", "function"]
@@ -196,8 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> RuleE
 
 
 def score_column(model: RuleEnsemble, text: Column) -> Column:
-    """The statistics are bound once by a lambda, so no rule computes them again wherever the optimizer moves the column."""
-    stats = F.array(F.struct(*(c.alias(k) for k, c in statistics(text).items())))
+    """Counts, then statistics, are bound once by lambdas, so no ratio or rule computes them again wherever the optimizer moves the column."""
+    own = F.array(F.struct(*(c.alias(k) for k, c in counts(text).items())))
+    stats = F.transform(own, lambda n: F.struct(*(c.alias(k) for k, c in ratios(lambda name: n[name]).items())))
     return F.element_at(F.transform(stats, model.column), 1)
 
 
