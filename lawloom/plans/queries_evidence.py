@@ -345,7 +345,7 @@ def change_point_metrics(spark, d):
 AC = f"{PAIRS}, x AS (SELECT entity, origin_index AS t, diff AS v FROM df WHERE horizon = 1), cx AS (SELECT entity, t, v - avg(v) OVER (PARTITION BY entity) AS v, count(*) OVER (PARTITION BY entity) AS n FROM x), g AS (SELECT a.entity, a.n, k AS lag, coalesce(sum(a.v * b.v), 0) AS s FROM cx a CROSS JOIN (SELECT unnest(range(0, 5)) AS k) LEFT JOIN cx b ON b.entity = a.entity AND b.t = a.t - k GROUP BY 1, 2, 3)"
 
 
-@query("effective_sample_size", f"WITH {AC} SELECT entity, n, {S('n / greatest(1.0, 1 + 2 * sum(CASE WHEN lag > 0 AND lag <= greatest(1, floor(sqrt(n))) AND lag < n THEN s ELSE 0 END) / sum(CASE WHEN lag = 0 THEN s END))', 5)} AS n_eff FROM g GROUP BY 1, 2")
+@query("effective_sample_size", f"WITH {AC} SELECT entity, n, {S('round(n / greatest(1.0, 1 + 2 * sum(CASE WHEN lag > 0 AND lag <= greatest(1, floor(sqrt(n))) AND lag < n THEN s ELSE 0 END) / sum(CASE WHEN lag = 0 THEN s END)), 6)', 5)} AS n_eff FROM g GROUP BY 1, 2")
 def effective_sample_size(spark, d):
     return inference.effective_sample_size(diffs_of(spark, d).where("horizon = 1"), ["entity"], "origin_index", "loss_difference", 4).select("entity", "n", R("n_eff", 5).alias("n_eff"))
 
