@@ -22,6 +22,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -283,6 +284,8 @@ def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Views of a text for similarity search: each is a key of ``DEPTH`` min-wise samples of its five-word shingles, so texts of
 #: similarity s share one with probability s**5, however they differ; twenty views find 99.96 % of pairs of exactly 0.8, more above.
 VIEWS, DEPTH, WIDTH, SIMILARITY, SKETCH = 20, 5, 5, 0.8, 256
+#: Shingles that a task holds of one part of a group.
+BLOCK = 1 << 19
 _SAMPLES = np.random.Generator(np.random.PCG64(0x5EED)).integers(0, 1 << 64, size=(2, 64 * DEPTH), dtype=np.uint64) | U64(1)
 
 
@@ -299,6 +302,11 @@ def view_keys(hashes: np.ndarray, views: int = VIEWS) -> np.ndarray:
     return keys
 
 
+def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(shingle_hashes(text, width))
+
+
 def shingle_sketch(text: bytes, width: int = WIDTH, size: int = SKETCH) -> np.ndarray:
     """The least ``size`` of the distinct 32-bit shingle hashes, sorted; all of them where there are fewer."""
     return np.unique((shingle_hashes(text, width) >> U64(32)).astype(np.uint32))[:size]
@@ -312,40 +320,127 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).mean())
 
 
-def _search_rows(texts: DataFrame, views: int) -> DataFrame:
-    """texts: tk, many, t. (tk, many, keys array, sketch binary)."""
+def similar_forest(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest of all pairs of sets whose Jaccard similarity is ``least`` or more; its edges are such pairs.
+
+    Breadth first: each set reached is held against all that aren't reached yet and of fitting size, by whole counts.
+    """
+    p, q = Fraction(str(least)).as_integer_ratio()
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    values, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = [ids[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist())]
+    left, flat, mark = np.arange(len(sets)), ids, np.zeros(len(values), bool)
+    out, todo = [], []
+
+    def drop(gone: np.ndarray) -> None:
+        nonlocal left, flat
+        flat = flat[np.repeat(~gone, sizes[left])]
+        left = left[~gone]
+
+    while len(left):
+        if not todo:
+            todo.append(int(left[0]))
+            drop(np.arange(len(left)) == 0)
+            continue
+        x = todo.pop()
+        size = sizes[left]
+        lo, hi = np.searchsorted(size * q, p * sizes[x]), np.searchsorted(size * p, q * sizes[x], side="right")
+        if lo >= hi:
+            continue
+        begin, end = int(size[:lo].sum()), int(size[:hi].sum())
+        mark[own[x]] = True
+        sums = np.concatenate([[0], np.cumsum(mark[flat[begin:end]])])
+        mark[own[x]] = False
+        last = np.cumsum(size[lo:hi])
+        shared = sums[last] - sums[last - size[lo:hi]]
+        gone = np.zeros(len(left), bool)
+        gone[lo:hi] = shared * q >= p * (size[lo:hi] + sizes[x] - shared)
+        if gone.any():
+            found = left[gone].tolist()
+            out += [(int(order[x]), int(order[y])) for y in found]
+            todo += found
+            drop(gone)
+    return out
+
+
+def _view_rows(texts: DataFrame, views: int) -> DataFrame:
+    """texts: tk, t. (tk, size, keys): the number of distinct shingles and a key for each view."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            raw = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
-            keys = [view_keys(np.unique(shingle_hashes(t, WIDTH)), views).view(np.int64).tolist() for t in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array([shingle_sketch(t).tobytes() for t in raw], pa.binary())], names=["tk", "many", "keys", "sketch"])
+            sets = [shingle_set(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
+            keys = [view_keys(x, views).view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["tk", "size", "keys"])
 
-    return texts.select("tk", "many", "t").mapInArrow(run, "tk binary, many boolean, keys array<long>, sketch binary")
+    return texts.select("tk", "t").mapInArrow(run, "tk binary, size long, keys array<long>")
 
 
-def similar_texts(texts: DataFrame, views: int = VIEWS, least: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between texts (tk, t) that are ``least`` similar in five-word shingles; ``many`` marks keys that may repeat.
+def _set_rows(texts: DataFrame) -> DataFrame:
+    """texts: tk, t. (tk, hashes): the bytes of the distinct shingle hashes."""
+    import pyarrow as pa
 
-    Texts with one key of a view are linked to the least of them; each such pair is then verified.
-    """
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py() or b"").tobytes() for t in part.column(1).cast(pa.binary())], pa.binary())], names=["tk", "hashes"])
+
+    return texts.select("tk", "t").mapInArrow(run, "tk binary, hashes binary")
+
+
+GROUP_KEY = ["view", "key", "i", "j"]
+
+
+def _group_forests(rows: DataFrame, least: float) -> DataFrame:
+    """rows: GROUP_KEY, tk, hashes. Verified links (a, b) that join what is similar within each group."""
     import pyarrow as pa
 
-    rows = stored(_search_rows(texts, views), "search-rows")
-    rows = rows.where("not many").unionByName(rows.where("many").dropDuplicates(["tk"])).drop("many")
-    flat = rows.select("tk", F.posexplode("keys").alias("view", "key"))
-    heads = stored(flat.groupBy("view", "key").agg(F.min("tk").alias("head")), "view-heads")
-    pairs = flat.join(heads, ["view", "key"]).where("tk <> head").select(F.col("head").alias("a"), F.col("tk").alias("b")).distinct()
-    sketch = lambda c: rows.select(F.col("tk").alias(c), F.col("sketch").alias(f"s{c}"))
-    both = stored(pairs, "similar-pairs").join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sa", "sb")
+    def run(batches: Iterator) -> Iterator:
+        held: tuple | None = None
+        keys: list[bytes] = []
+        sets: list[np.ndarray] = []
+
+        def done():
+            found = similar_forest(sets, least) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in found], pa.binary()), pa.array([keys[y] for _, y in found], pa.binary())], names=["a", "b"])
 
-    def verify(batches: Iterator) -> Iterator:
         for batch in batches:
-            keep = [similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) >= least for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for *own, tk, hashes in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if own != held:
+                    if len(sets) > 1:
+                        yield done()
+                    held, keys, sets = own, [], []
+                keys.append(tk)
+                sets.append(np.frombuffer(hashes, np.uint64))
+        yield done()
+
+    return rows.repartition(*GROUP_KEY).sortWithinPartitions(*GROUP_KEY).mapInArrow(run, "a binary, b binary")
+
 
-    return both.mapInArrow(verify, "a binary, b binary")
+def similar_texts(texts: DataFrame, views: int = VIEWS, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between texts (tk, t) that are ``least`` similar in five-word shingles; ``many`` marks keys that may repeat.
+
+    Texts with one key of a view are a group. Every pair of a group is looked at on the whole shingle sets
+    unless links join it already, so the components are those of all similar pairs of the group. Views
+    with the same members are looked at once; a group of over ``block`` shingles is dealt out by pairs of
+    its parts. Shingle sets are made only for texts that share a key.
+    """
+    rows = stored(_view_rows(texts, views).dropDuplicates(["tk"]), "view-rows")
+    flat = rows.select("tk", "size", F.posexplode("keys").alias("view", "key"))
+    same = [F.count("*").alias("n"), F.sum(F.col("size") + 1).alias("total"), F.expr("bit_xor(xxhash64(tk))").alias("x"), F.expr("bit_xor(xxhash64(tk, 1))").alias("y")]
+    groups = flat.groupBy("view", "key").agg(*same).where("n > 1")
+    groups = groups.groupBy("n", "total", "x", "y").agg(F.min(F.struct("view", "key")).alias("g")).select("g.view", "g.key", F.ceil(F.col("total") / block).cast("int").alias("parts"))
+    members = stored(flat.join(stored(groups, "view-groups"), ["view", "key"]).select("view", "key", "parts", "tk"), "view-members")
+    part = F.expr("cast(pmod(xxhash64(tk, 2), parts) as int)")
+    other = F.explode(F.expr("case when parts > 1 then filter(sequence(0, parts - 1), o -> o <> p) else array(0) end"))
+    members = members.withColumn("p", part).select("view", "key", "p", "tk", other.alias("o")).select("view", "key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "tk")
+    wanted = texts.join(stored(members.select("tk").distinct(), "view-texts"), "tk")
+    single = wanted.where("not many").unionByName(wanted.where("many").dropDuplicates(["tk"]))
+    sets = stored(_set_rows(single), "shingle-sets")
+    return _group_forests(members.join(sets, "tk").select(*GROUP_KEY, "tk", "hashes"), least).distinct()
 
 
 def one_of_each(docs: DataFrame, views: int = VIEWS, least: float = SIMILARITY) -> DataFrame:
