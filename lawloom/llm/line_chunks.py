@@ -1,11 +1,12 @@
 """Line dedup with content-defined chunks of lines.
 
-Each line is hashed (XXH64); a rolling hash over two consecutive line hashes ends a chunk where it is
-a multiple of ``DIVISOR``, so boundaries follow content and survive inserted or deleted lines. Chunks
-have at least two lines, unless the text ends, and at most ``MAX_LINES``. A chunk of two or more
-non-blank lines that occurs more than once in the whole table, in one document or in many, is kept at
-its first place (smallest doc_id, then first line) and removed everywhere else; places are grouped by
-the bytes themselves, so equal hashes of different chunks remove nothing.
+A chunk is a non-blank line up to the next non-blank one, with the blank lines between, at every
+line; so a passage of two lines or more that occurs again consists of chunks that occur again,
+whatever stands around it, and none is missed. A chunk that occurs more than once in the whole table,
+in one document or in many, is kept at its first place (smallest doc_id, then first line) and removed
+everywhere else: a line goes if it lies in such a chunk. Chunks of one line repeated over and over
+don't overlap. Places are grouped by the bytes themselves, so equal hashes of different chunks remove
+nothing.
 
 Shuffles: slim rows (hash, id, place) to find repeated hashes, with partial sums; then only the bytes
 of chunks whose hash is repeated. Whole texts are shuffled once, to meet their candidate places.
@@ -26,23 +27,23 @@ from pyspark.sql import functions as F
 
 from lawloom.llm.common import row_key, stored, table, text_or_empty
 
-DIVISOR, MIN_LINES, MAX_LINES = 4, 2, 64
-_M = (1 << 64) - 1
-
-
-def chunk_spans(lines: list[bytes], divisor: int = DIVISOR) -> list[tuple[int, int]]:
-    """(first line, last line + 1) of the chunks, in order and without gaps."""
-    out, start, last = [], 0, 0
-    digest = xxhash.xxh64_intdigest
-    for i, line in enumerate(lines):
-        own = digest(line)
-        rolled = ((last * 0x9E3779B97F4A7C15 & _M) ^ own) * 0xD6E8FEB86659FD93 & _M
-        last = own
-        if i + 1 - start >= MIN_LINES and ((rolled >> 32) % divisor == 0 or i + 1 - start >= MAX_LINES):
-            out.append((start, i + 1))
-            start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines)))
+MIN_LINES = 2
+
+
+def chunk_spans(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, last line + 1) of the chunks, in order: all pairs of consecutive non-blank lines.
+
+    A pair equal to the one before it, with which it shares a line, is left out; where that leaves the
+    last line of a run of equal lines without a pair, a chunk of three covers it.
+    """
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    out: list[tuple[int, int]] = []
+    for k, (i, j) in enumerate(zip(full, full[1:])):
+        if out and out[-1][1] == i + 1 and lines[out[-1][0] : i + 1] == lines[i : j + 1]:
+            if k + 2 == len(full) or lines[i : j + 1] != lines[j : full[k + 2] + 1]:
+                out.append((out[-1][0], j + 1))
+            continue
+        out.append((i, j + 1))
     return out
 
 
@@ -114,7 +115,7 @@ def _resolved(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_lines, removed (spans of lines: start, n), and text without them for the rows that lose some."""
+    """doc_id, text_hash, n_lines, removed (runs of lines: start, n), and text without them for the rows that lose some."""
     slim = stored(_slim(docs), "line-chunks")
     repeated = slim.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select("chunk")
     starts = slim.join(repeated, "chunk").groupBy("doc_id", "text_hash").agg(F.collect_set("start").alias("starts"))
@@ -139,15 +140,22 @@ def _rebuilt(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            texts = []
+            texts, spans = [], []
             for text, gone in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                merged = None
                 if gone:
-                    out = [x for x in {i for g in gone for i in range(g["start"], g["start"] + g["n"])}]
-                    drop = set(out)
+                    drop = {i for g in gone for i in range(g["start"], g["start"] + g["n"])}
                     text = "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in drop)
+                    merged = []
+                    for i in sorted(drop):
+                        if i - 1 in drop:
+                            merged[-1]["n"] += 1
+                        else:
+                            merged.append({"start": i, "n": 1})
                 texts.append(text)
+                spans.append(merged)
             shas = [hashlib.sha256((x or "").encode()).hexdigest() for x in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shas), pa.array(texts, pa.string()), batch.column(4)], names=["doc_id", "text_hash", "n_lines", "kept_sha256", "kept_text", "removed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shas), pa.array(texts, pa.string()), pa.array(spans, batch.column(4).type)], names=["doc_id", "text_hash", "n_lines", "kept_sha256", "kept_text", "removed"])
 
     return rows.mapInArrow(run, schema)
 
