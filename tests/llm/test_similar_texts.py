@@ -97,3 +97,15 @@ def test_parts_of_a_large_group_are_settled_together(spark):
     found = simhash.similar_texts(rows, block=1500).collect()
     at = {t.encode(): i for i, t in enumerate(texts)}
     assert len(components(len(texts), [(at[bytes(r["a"])], at[bytes(r["b"])]) for r in found])) == 1
+
+
+def test_long_texts_about_the_limit_are_settled_exactly():
+    rng = random.Random(16)
+    for n in (1000, 3000):
+        for more, joined in ((0.245, True), (0.25, True), (0.256, False), (0.27, False)):
+            for _ in range(8):
+                text = words(rng, n)
+                other = text + words(rng, int((n - 4) * more))
+                assert (exact(text, other) >= 0.8) == joined
+                sets = [simhash.shingle_set(" ".join(t).encode()) for t in (text, other)]
+                assert bool(simhash.similar_forest(sets)) == joined
