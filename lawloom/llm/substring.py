@@ -1,139 +1,113 @@
 """Substring dedup over word windows: count-min prefilter, then exact groups.
 
-First pass: ``sieve`` counts anchors of windows in merged partition sketches; estimates are never too
-low. Second pass: only windows whose anchor is estimated repeated are hashed (128 bits) and grouped by
-native aggregates; a window is removed from a document if a smaller doc_id holds it too. Windows of
-texts that equal a smaller document's need no group: all of them are repeated.
-
-Hot windows are combined before the shuffle; the join back to places is an equi-join of two exchanges,
-which adaptive execution splits. Positions of one document meet in one row.
+First pass: ``sieve`` adds up the count-min sketches of all partitions; estimates are never too low.
+Second pass: only windows estimated repeated are dealt out, as stretches of words, by their anchor; in
+the anchor's task windows are grouped by their words themselves, and a window goes from a document if
+a smaller doc_id holds it too. Windows of texts that equal a smaller document's need no group: all of
+them are repeated.
 
 Edge cases: null text has no words; a null doc_id is never smaller, so nothing is removed there and it
-removes nothing; rows with equal doc_id don't remove from each other; documents with fewer words than
-the window keep all; an empty table gives an empty result; other columns are ignored.
+removes nothing; rows with equal doc_id don't remove from each other; repeated rows give repeated
+results; documents with fewer words than the window keep all; a text of any length is searched in
+pieces; an empty table gives an empty result; other columns, whatever their names, are ignored. doc_id
+is returned as long.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lawloom.llm.common import BASES, byte_columns, chunks, mix, rolling, span_hashes, stored, table, words_of
-from lawloom.llm.sieve import packed, sifted, window_anchors
+from lawloom.llm.common import CHUNK_BYTES, chunks, span_hashes, table, words_of
+from lawloom.llm.sieve import Piece, dedup, digest
 
 WINDOW, GRAM = 50, 12
-
-
-def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, rows = words_of(data, offsets)
-    return span_hashes(data, starts, ends), np.searchsorted(rows, np.arange(len(offsets)), side="left")
-
-
-def _judged(rows: DataFrame, window: int) -> DataFrame:
-    """Final figures of rows without candidate windows; the others keep t and anchors."""
-    import pyarrow as pa
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            n_words, n_removed, shas, texts, anchors = [], [], [], [], []
-            for doc, text, first, own in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                words = (text.as_py() or "").encode().split()
-                copy = doc is not None and first is not None and first < doc
-                still = own is not None and not copy and doc is not None and len(words) >= window
-                gone = len(words) if copy and len(words) >= window else 0
-                n_words.append(len(words))
-                n_removed.append(gone)
-                shas.append(None if still else hashlib.sha256(b"" if gone else b" ".join(words)).hexdigest())
-                texts.append(text.as_py() if still else None)
-                anchors.append(b"".join(own) if still else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), pa.array(anchors, pa.binary())],
-                names=["doc_id", "tag", "n_words", "n_removed", "kept_sha256", "t", "anchors"],
-            )
-
-    return rows.mapInArrow(run, f"doc_id {kind}, tag int, n_words long, n_removed long, kept_sha256 string, t string, anchors binary")
-
-
-def _windows(rows: DataFrame, slices: int, window: int, gram: int) -> DataFrame:
-    """(w1, w2, doc_id, tag, at) of the windows whose anchor is estimated repeated."""
-    import pyarrow as pa
-
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            data, offsets = byte_columns(batch.column(2))
-            kept = batch.column(3).to_pylist()
-            for a, b in chunks(offsets):
-                values, first = word_units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                starts, anchors = window_anchors(values, first, window, gram)
-                if not len(starts):
-                    continue
-                codes = packed(anchors, slices)
-                row = np.searchsorted(first, starts, side="right") - 1
-                fine = np.zeros(len(starts), bool)
-                cuts = np.searchsorted(row, np.arange(b - a + 1), side="left")
-                for i in range(b - a):
-                    own = np.sort(np.frombuffer(kept[a + i], np.int64))
-                    part = codes[cuts[i] : cuts[i + 1]]
-                    at = np.minimum(np.searchsorted(own, part), len(own) - 1)
-                    fine[cuts[i] : cuts[i + 1]] = own[at] == part if len(own) else False
-                at = np.flatnonzero(fine)
-                if not len(at):
-                    continue
-                w1 = mix(rolling(values, window, BASES[0]))[starts[at]].view(np.int64)
-                w2 = mix(rolling(mix(values), window, BASES[1]))[starts[at]].view(np.int64)
-                of = pa.array(a + row[at])
-                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), batch.column(0).take(of), batch.column(1).take(of), pa.array((starts[at] - first[row[at]]).astype(np.int32))], names=["w1", "w2", "doc_id", "tag", "at"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "tag", "t", "anchors").mapInArrow(run, f"w1 long, w2 long, doc_id {kind}, tag int, at int")
-
-
-def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Which of n units lie in a window that begins at one of starts."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n), -1)
-    return np.cumsum(edge[:n]) > 0
-
-
-def _cut(rows: DataFrame, window: int) -> DataFrame:
+#: Raw text that one slice of the sketch stands for.
+BYTES_PER_SLICE = 256 << 20
+#: Words of a long text in one piece.
+PIECE_WORDS = CHUNK_BYTES // 8
+
+
+def _piece(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, row: int, base: int) -> Piece:
+    """Words with one space after each."""
+    lo = int(starts[0]) if len(starts) else 0
+    raw = data[lo : int(ends[-1]) if len(ends) else 0]
+    n = ends - starts
+    at = np.concatenate([[0], np.cumsum(n + 1)])
+    out = np.full(int(at[-1]), 0x20, np.uint8)
+    inner = np.ones(len(out), bool)
+    inner[at[1:] - 1] = False
+    out[inner] = raw.take(np.repeat(starts - lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+    return Piece(span_hashes(raw, starts - lo, ends - lo), first, row, base, out, at, 1)
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[Piece]:
+    for a, b in chunks(offsets):
+        own = offsets[a : b + 1] - offsets[a]
+        raw = data[offsets[a] : offsets[b]]
+        starts, ends, rows = words_of(raw, own)
+        if b > a + 1 or len(starts) <= PIECE_WORDS:
+            yield _piece(raw, starts, ends, np.searchsorted(rows, np.arange(b - a + 1), side="left"), a, 0)
+            continue
+        for base in range(0, len(starts), PIECE_WORDS):
+            s, e = (x[base : base + PIECE_WORDS + window - 1] for x in (starts, ends))
+            yield _piece(raw, s, e, np.array([0, len(s)]), a, base)
+
+
+def _judge(lengths, data, begins, deal, doc, bucket, window: int = WINDOW) -> np.ndarray:
+    """Windows of one anchor grouped by their words."""
+    whole, marks = data.tobytes(), np.flatnonzero(data == 0x20)
+    out: list[int] = []
+    held: dict[bytes, int] = {}
+    keys: list[bytes] = []
+    anchor = None
+    begins = begins.tolist()
+
+    def done():
+        out.extend(map(held.__getitem__, keys))
+        keys.clear()
+        held.clear()
+
+    first = np.searchsorted(marks, begins).tolist()
+    for i, (n, own, least) in enumerate(zip(lengths.tolist(), deal.tolist(), doc.tolist())):
+        if own != anchor:
+            done()
+            anchor = own
+        inner = marks[first[i] : first[i] + n - 1]
+        lo = [begins[i], *(inner[: n - window] + 1).tolist()]
+        hi = [*inner[window - 1 :].tolist(), begins[i + 1]]
+        for x, y in zip(lo, hi):
+            key = whole[x:y]
+            keys.append(key)
+            if least < held.get(key, least + 1):
+                held[key] = least
+    done()
+    return np.array(out, np.int64)
+
+
+def _finish(data: bytes, spans: np.ndarray | None, window: int = WINDOW) -> tuple:
+    words = data.split()
+    if spans is None:
+        return len(words), 0, digest(b" ".join(words)), None
+    if spans[0, 1] < 0:  # a copy of a smaller document: all its windows start there, too
+        gone = len(words) >= window
+        return len(words), len(words) if gone else 0, digest(b"" if gone else b" ".join(words)), "" if gone else None
+    edges = spans.ravel().tolist()
+    left = [w for a, b in zip([0, *edges[1::2]], [*edges[::2], len(words)]) for w in words[a:b]]
+    kept = b" ".join(left)
+    return len(words), len(words) - len(left), digest(kept), kept.decode()
+
+
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bytes_per_slice: int = BYTES_PER_SLICE, **options) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept_text (null: nothing is removed) of every row of docs."""
     import pyarrow as pa
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            n_words, n_removed, shas, kept_texts = [], [], [], []
-            for text, starts in zip(batch.column(2), batch.column(3)):
-                words = text.as_py().encode().split()
-                gone = np.zeros(len(words), bool) if not starts.is_valid else covered(starts.values.to_numpy(), len(words), window)
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                n_words.append(len(words))
-                n_removed.append(int(gone.sum()))
-                shas.append(hashlib.sha256(kept).hexdigest())
-                kept_texts.append(kept.decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas), pa.array(kept_texts, pa.string())], names=["doc_id", "tag", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, tag int, n_words long, n_removed long, kept_sha256 string, kept_text string")
-
-
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bytes_per_slice: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text (of rows that had candidate windows) of every row of docs."""
-    rows, slices = sifted(docs, word_units, window, gram, "substring", **({"bytes_per_slice": bytes_per_slice} if bytes_per_slice else {}))
-    judged = stored(_judged(rows, window), "substring-rows")
-    closed, still = judged.where("t is null"), judged.where("t is not null")
-    places = _windows(still, slices, window, gram)
-    least = places.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
-    least = stored(least, "substring-windows")
-    gone = places.join(least, ["w1", "w2"]).where("least < doc_id").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("starts"))
-    done = _cut(still.select("doc_id", "tag", "t").join(gone, ["doc_id", "tag"], "left").select("doc_id", "tag", "t", "starts"), window)
-    return closed.select("doc_id", "n_words", "n_removed", "kept_sha256", F.lit(None).cast("string").alias("kept_text")).unionByName(done.drop("tag"))
+    schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+    judge = lambda *a: _judge(*a, window=window)
+    finish = lambda data, spans: _finish(data, spans, window)
+    return dedup(docs, _cut, judge, finish, schema, "n_words long, n_removed long, kept_sha256 string, kept_text string", window, gram, 1, "substring", bytes_per_slice, **options)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

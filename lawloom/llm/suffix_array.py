@@ -1,427 +1,63 @@
 """Suffix-array dedup: repeated byte strings from merged Burrows-Wheeler transforms.
 
-1. ``sieve`` (anchors over bytes) sets aside text that can't hold a repeated ``window``-byte string.
-2. What is left is cut at anchors: consecutive windows with one anchor form a *stretch*. All
-   occurrences of a window share its anchor, so stretches are dealt out by anchor and every group of
-   equal windows lies in one task. Equal stretches are reduced to one with the smallest doc_id, in each
-   batch before the shuffle and again after it.
-3. A task turns shards of stretches into Burrows-Wheeler transforms and merges them: the interleave of
-   the shards' rows is refined until its blocks are the intervals with a common prefix of ``window``
-   bytes; settled blocks are skipped and no suffix is sorted again. The steps' blocks also give the
-   common prefix of any two neighbours. A stretch alone at its anchor needs no merge.
-4. An interval's smallest doc_id is handed back to every place of its stretches by an equi-join.
+``sieve`` sets aside text that can't hold a repeated ``window``-byte string and deals out what is left
+as stretches of bytes, so that all occurrences of a window meet in one task. There the stretches of
+different buckets of texts are shards: each shard's transform is built once, the transforms are merged
+by refining the interleave of their rows (``transforms``), and the runs of rows whose common prefixes
+reach the window are the repeated intervals; an interval's smallest doc_id decides for each of its
+windows. A stretch alone at its anchor needs no merge.
 
 Edge cases: null text has no bytes; a null doc_id is never smaller, so nothing is removed there and it
-removes nothing; rows with equal doc_id don't remove from each other; texts shorter than the window
-keep all; an empty table gives an empty result; other columns are ignored.
+removes nothing; rows with equal doc_id don't remove from each other; repeated rows give repeated
+results; texts shorter than the window keep all; a text of any length is searched in pieces; an empty
+table gives an empty result; other columns, whatever their names, are ignored. doc_id is returned as
+long.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lawloom.llm.common import BASES, BYTE_VALUES, byte_columns, chunks, stored, span_hashes, table
-from lawloom.llm.sieve import packed, sifted, window_anchors
-from lawloom.llm.substring import covered
+from lawloom.llm.common import BYTE_VALUES, table
+from lawloom.llm.sieve import byte_pieces, dedup, digest
+from lawloom.llm.transforms import interval_minima
 
 WINDOW, GRAM = 50, 20
-#: Bytes of stretches in one shard, and in the shards that one merge takes at most.
-SHARD_BYTES, BLOCK_BYTES = 1 << 18, 1 << 21
-
-
-@dataclass
-class Shard:
-    """A transform of several strings, each ended by its own mark (0, in the order of the strings).
-
-    symbols: byte before each suffix plus 1, or 0 before a string's first; rows: position of each
-    suffix in the concatenation; string and offset of a position follow from begins.
-    """
-
-    symbols: np.ndarray
-    rows: np.ndarray
-    begins: np.ndarray
-
-
-def _small(a: np.ndarray, most: int) -> np.ndarray:
-    """As 8 bits where the values fit: counting passes over bytes are the fastest."""
-    return a.astype(np.uint8 if most < 256 else np.uint16)
-
-
-def build_shard(strings: list[bytes], window: int = WINDOW) -> Shard:
-    """Suffixes ordered by their first ``window`` bytes at least, then by end mark: sorted by 8 bytes, then prefix doubling.
-
-    A suffix whose end mark lies within the bytes compared is told from its equals by its string.
-    Equals beyond the window may come in any order: they belong to one interval.
-    """
-    lengths = np.array([len(s) + 1 for s in strings], np.int64)
-    begins = np.concatenate([[0], np.cumsum(lengths)])
-    n = int(begins[-1])
-    raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint64) + np.uint64(1)
-    ends = begins[1:] - 1
-    raw[ends] = 0
-    string = np.repeat(np.arange(len(strings), dtype=np.int64), lengths)
-    left = ends[string] - np.arange(n)  # bytes before the end mark
-    key = np.zeros(n, np.uint64)
-    wide = int(raw.max(initial=0)) > 255
-    k = 7 if wide else 8
-    bits = np.uint64(9 if wide else 8)
-    for j in range(k):
-        part = np.zeros(n, np.uint64)
-        part[: n - j] = raw[j:]
-        part[left < j] = 0
-        key = key << bits | part
-    while True:
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.ones(n, np.int64)
-        new[1:] = sorted_key[1:] != sorted_key[:-1]
-        if k >= window:
-            break
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        follow = np.empty(n, np.int64)
-        follow[: n - k] = rank[k:] + len(strings)
-        near = left < k
-        follow[near] = string[near]
-        key = rank.astype(np.uint64) << np.uint64(32) | follow.astype(np.uint64)
-        k *= 2
-    before = np.zeros(n, np.uint16)
-    before[1:] = raw[:-1]
-    before[begins[:-1]] = 0
-    return Shard(_small(before[order], int(before.max(initial=0))), order, begins)
-
-
-@dataclass
-class Merged:
-    """Shards' rows in common order. rows: shard row (counted through all shards) at each place; starts: where a block of rows with
-    one prefix of ``depth`` characters begins; links: for each length of a refinement step, the row that many characters on, and
-    the block of each row by that many characters."""
-
-    rows: np.ndarray
-    starts: np.ndarray
-    depth: int
-    links: list[tuple[int, np.ndarray, np.ndarray]]
-
-
-def merge_shards(shards: list[Shard], depth: int) -> Merged:
-    """Merge transforms by refining the interleave of their rows.
-
-    Only the transforms are read: the k-th occurrence of a byte in a shard's transform belongs to the
-    shard's k-th row that starts with it, which links each row to the row one character on. The
-    interleave by one character is a counting pass; a refinement orders the rows of each open block by
-    the blocks of their links, from k characters to 2k (last: to ``depth``). Settled blocks aren't
-    touched again (Holt and McMillan's interval skipping, with doubled steps), and no suffix is sorted
-    anew. An end mark is a block of its own.
-    """
-    marks, link, first, at = [], [], [], 0
-    for s in shards:
-        order = np.argsort(s.symbols, kind="stable")
-        m = int((s.symbols == 0).sum())
-        one = order.astype(np.int64)
-        one[:m] = np.arange(m)  # a mark leads to itself
-        marks.append(m)
-        link.append(one + at)
-        chars = s.symbols[order]
-        chars[:m] = 0
-        first.append(chars)
-        at += len(order)
-    link, first = np.concatenate(link), np.concatenate(first)
-    rows = np.argsort(first, kind="stable")
-    starts = np.ones(at, bool)
-    starts[1:] = first[rows][1:] != first[rows][:-1]
-    starts[: sum(marks)] = True
-    place = np.maximum.accumulate(np.where(starts, np.arange(at), 0))
-    block = np.empty(at, np.int64)
-    block[rows] = place
-    k, links = 1, []
-    while k < depth:
-        links.append((k, link, block.copy()))
-        step = min(k, depth - k)
-        jump = link if step == k else _jump(links, step)
-        size_one = starts.copy()
-        size_one[:-1] &= starts[1:]
-        open_at = np.flatnonzero(~size_one)
-        if len(open_at):
-            own = rows[open_at]
-            key = block[own] << 32 | block[jump[own]]
-            order = np.argsort(key)
-            own, key = own[order], key[order]
-            rows[open_at] = own
-            new = np.ones(len(own), bool)
-            new[1:] = key[1:] != key[:-1]
-            starts[open_at] = new
-            block[own] = np.maximum.accumulate(np.where(new, open_at, 0))
-        link = link[link]
-        k += step
-    links.append((k, link, block))
-    return Merged(rows, starts, depth, links)
-
-
-def _jump(links: list[tuple[int, np.ndarray, np.ndarray]], step: int) -> np.ndarray:
-    out = None
-    for k, link, _ in reversed(links):
-        if step >= k:
-            out = link if out is None else link[out]
-            step -= k
-    return out
-
-
-def common_prefixes(merged: Merged) -> np.ndarray:
-    """Common prefix of each place with the place before (at most depth), from the blocks of the refinement steps; 0 at the first."""
-    a, b = merged.rows[:-1].copy(), merged.rows[1:].copy()
-    out = np.zeros(len(merged.rows), np.int64)
-    whole = ~merged.starts[1:]
-    for k, link, block in reversed([x for x in merged.links if x[0] < merged.depth]):
-        same = (block[a] == block[b]) & ~whole
-        out[1:][same] += k
-        a, b = np.where(same, link[a], a), np.where(same, link[b], b)
-    out[1:][whole] = merged.depth
-    return np.minimum(out, merged.depth)
-
-
-def interval_minima(strings: list[bytes], docs: np.ndarray, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each string and each window of it, the smallest of ``docs`` among the strings that hold the window."""
-    shards, held, size, firsts = [], [], 0, []
-    for i, s in enumerate(strings):
-        if held and size + len(s) > shard_bytes:
-            shards.append(build_shard(held, window))
-            held, size = [], 0
-        if not held:
-            firsts.append(i)
-        held.append(s)
-        size += len(s) + 1
-    if held:
-        shards.append(build_shard(held, window))
-    merged = merge_shards(shards, window)
-    string, offset = [], []
-    for shard, first in zip(shards, firsts):
-        own = np.searchsorted(shard.begins, shard.rows, side="right") - 1
-        string.append(own + first)
-        offset.append(shard.rows - shard.begins[own])
-    string, offset = np.concatenate(string)[merged.rows], np.concatenate(offset)[merged.rows]
-    lengths = np.array([len(s) for s in strings], np.int64)
-    whole = offset + window <= lengths[string]
-    starts = np.flatnonzero(merged.starts)
-    least = np.minimum.reduceat(np.where(whole, docs[string], np.iinfo(np.int64).max), starts)
-    value = np.repeat(least, np.diff(np.concatenate([starts, [len(string)]])))
-    out_at = np.concatenate([[0], np.cumsum(np.maximum(lengths - window + 1, 0))])
-    flat = np.empty(int(out_at[-1]), np.int64)
-    flat[out_at[string[whole]] + offset[whole]] = value[whole]
-    return [flat[a:b] for a, b in zip(out_at[:-1], out_at[1:])]
+#: Shards that a block of stretches is made of.
+SHARDS = 8
+#: Raw text that one slice of the sketch stands for.
+BYTES_PER_SLICE = 48 << 20
 
 
-def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return BYTE_VALUES[0][data], offsets
+def _cut(data: np.ndarray, offsets: np.ndarray, window: int):
+    return byte_pieces(data, offsets, window, BYTE_VALUES[0])
 
 
-def _judged(rows: DataFrame, window: int) -> DataFrame:
-    """Final figures of rows without candidate windows; the others keep t and anchors."""
-    import pyarrow as pa
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            n_bytes, n_removed, shas, texts, anchors = [], [], [], [], []
-            for doc, text, first, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                data = (text or "").encode()
-                copy = doc is not None and first is not None and first < doc
-                still = own is not None and not copy and doc is not None and len(data) >= window
-                gone = len(data) if copy and len(data) >= window else 0
-                n_bytes.append(len(data))
-                n_removed.append(gone)
-                shas.append(None if still else hashlib.sha256(b"" if gone else data).hexdigest())
-                texts.append(text if still else None)
-                anchors.append(b"".join(own) if still else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([int(x > 0) for x in n_removed], pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), pa.array(anchors, pa.binary())],
-                names=["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "t", "anchors"],
-            )
-
-    return rows.mapInArrow(run, f"doc_id {kind}, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, t string, anchors binary")
-
-
-def _stretches(rows: DataFrame, slices: int, window: int, gram: int, places: bool) -> DataFrame:
-    """Runs of windows with one anchor that is estimated repeated.
-
-    places: (s1, s2, doc_id, tag, at) of each. Otherwise (anchor, s1, s2, doc, bytes), the smallest
-    doc of equal stretches in a batch of texts.
-    """
-    import pyarrow as pa
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            data, offsets = byte_columns(batch.column(2))
-            kept = batch.column(3).to_pylist()
-            ids = batch.column(0).to_numpy().astype(np.int64)
-            held: list = []
-            for a, b in chunks(offsets):
-                raw = data[offsets[a] : offsets[b]]
-                values, first = byte_units(raw, offsets[a : b + 1] - offsets[a])
-                starts, anchors = window_anchors(values, first, window, gram)
-                if not len(starts):
-                    continue
-                codes = packed(anchors, slices)
-                row = np.searchsorted(first, starts, side="right") - 1
-                cuts = np.searchsorted(row, np.arange(b - a + 1), side="left")
-                fine = np.zeros(len(starts), bool)
-                for i in range(b - a):
-                    own = np.sort(np.frombuffer(kept[a + i], np.int64))
-                    part = codes[cuts[i] : cuts[i + 1]]
-                    if len(own) and len(part):
-                        fine[cuts[i] : cuts[i + 1]] = own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part
-                at = np.flatnonzero(fine)
-                if not len(at):
-                    continue
-                new = np.ones(len(at), bool)
-                new[1:] = (np.diff(starts[at]) != 1) | (anchors[at][1:] != anchors[at][:-1]) | (np.diff(row[at]) != 0)
-                begin = np.flatnonzero(new)
-                end = np.concatenate([begin[1:], [len(at)]]) - 1
-                lo, hi = starts[at[begin]], starts[at[end]] + window
-                s1, s2 = span_hashes(raw, lo, hi, 0).view(np.int64), span_hashes(raw, lo, hi, 1).view(np.int64)
-                own_row = row[at[begin]]
-                if places:
-                    of = pa.array(a + own_row)
-                    yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), batch.column(0).take(of), batch.column(1).take(of), pa.array((lo - first[own_row]).astype(np.int32))], names=["s1", "s2", "doc_id", "tag", "at"])
-                    continue
-                held.append((anchors[at[begin]].view(np.int64), s1, s2, ids[a + own_row], offsets[a] + lo, offsets[a] + hi))
-            if held:
-                anchor, s1, s2, doc, lo, hi = (np.concatenate(x) for x in zip(*held))
-                order = np.lexsort((doc, s2, s1))
-                lead = np.ones(len(order), bool)
-                lead[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
-                k = order[lead]
-                whole = data.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[k]), pa.array(s1[k]), pa.array(s2[k]), pa.array(doc[k]), pa.array([whole[i:j] for i, j in zip(lo[k].tolist(), hi[k].tolist())], pa.binary())],
-                    names=["anchor", "s1", "s2", "doc", "bytes"],
-                )
-
-    schema = f"s1 long, s2 long, doc_id {kind}, tag int, at int" if places else "anchor long, s1 long, s2 long, doc long, bytes binary"
-    return rows.select("doc_id", "tag", "t", "anchors").mapInArrow(run, schema)
+def _judge(lengths, data, begins, deal, doc, bucket, window: int = WINDOW) -> np.ndarray:
+    return interval_minima(lengths, data, bucket % SHARDS, doc, window)
 
 
-def _minima_blocks(rows, window: int) -> Iterator:
-    """rows: an Arrow table of distinct stretches sorted by anchor. (s1, s2, minima) batches, a block of anchors at a time."""
-    import pyarrow as pa
-
-    if not rows.num_rows:
-        return
-    anchor, docs = rows.column(0).to_numpy(), rows.column(3).to_numpy()
-    data = rows.column(4).combine_chunks()
-    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-    lengths = np.diff(np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]).astype(np.int64)
-    edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    group = np.diff(np.concatenate([edge, [len(anchor)]]))
-    # equal windows have equal anchors: a stretch alone at its anchor shares no window, so its minimum is its own
-    alone = np.repeat(group == 1, group)
-    total = np.cumsum(np.where(alone, 0, lengths + 1))
-    i = 0
-    while i < len(anchor):
-        j = int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK_BYTES, side="right"))
-        j = len(anchor) if j >= len(anchor) else int(edge[max(np.searchsorted(edge, j, side="right") - 1, 0)])
-        if j <= i:  # one anchor fills more than a block
-            at = int(np.searchsorted(edge, i, side="right"))
-            j = int(edge[at]) if at < len(edge) else len(anchor)
-        n = lengths[i:j] - window + 1
-        flat = np.repeat(docs[i:j], n)
-        offsets = np.concatenate([[0], np.cumsum(n)])
-        some = np.flatnonzero(~alone[i:j])
-        if len(some):
-            own = interval_minima(data.take(pa.array(i + some)).to_pylist(), docs[i + some], window)
-            flat[np.repeat(~alone[i:j], n)] = np.concatenate(own)
-        yield pa.RecordBatch.from_arrays([rows.column(1).slice(i, j - i).combine_chunks(), rows.column(2).slice(i, j - i).combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["s1", "s2", "minima"])
-        i = j
+def _finish(data: bytes, spans: np.ndarray | None, window: int = WINDOW) -> tuple:
+    if spans is None:
+        return len(data), 0, 0, digest(data), None
+    if spans[0, 1] < 0:  # a copy of a smaller document: all its windows start there, too
+        gone = len(data) >= window
+        return len(data), len(data) if gone else 0, int(gone), digest(b"" if gone else data), [0, len(data)] if gone else None
+    edges = spans.ravel().tolist()
+    kept = b"".join(data[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(data)]))
+    return len(data), len(data) - len(kept), len(spans), digest(kept), edges
 
 
-def _merged(stretches: DataFrame, window: int, partitions: int) -> DataFrame:
-    """(s1, s2, minima): for each distinct stretch, the smallest doc of each of its windows."""
+def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bytes_per_slice: int = BYTES_PER_SLICE, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and span_edges (begin, end, begin, ... of removed runs; null: none) of every row of docs."""
     import pyarrow as pa
 
-    def run(batches: Iterator) -> Iterator:
-        # Rows come sorted by anchor, stretch, doc, so the first of equal stretches has the smallest doc. A block ends between
-        # anchors; an anchor with more stretches than a block has bytes makes a larger block of more shards.
-        held: list = []
-        size, last = 0, None
-        for batch in batches:
-            anchor, s1, s2 = (batch.column(i).to_numpy() for i in range(3))
-            new = np.ones(len(anchor), bool)
-            new[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]) | (anchor[1:] != anchor[:-1])
-            if len(anchor) and last == (anchor[0], s1[0], s2[0]):
-                new[0] = False
-            last = (anchor[-1], s1[-1], s2[-1]) if len(anchor) else last
-            batch = batch.filter(pa.array(new))
-            held.append(batch)
-            size += batch.nbytes
-            if size > BLOCK_BYTES * 2:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                keys = whole.column(0).to_numpy()
-                cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if len(keys) and keys[0] != keys[-1] else 0
-                yield from _minima_blocks(whole.slice(0, cut), window)
-                held = whole.slice(cut).to_batches()
-                size = sum(x.nbytes for x in held)
-        if held:
-            yield from _minima_blocks(pa.Table.from_batches(held).combine_chunks(), window)
-
-    dealt = stretches.repartition(partitions, "anchor").sortWithinPartitions("anchor", "s1", "s2", "doc")
-    return dealt.mapInArrow(run, "s1 long, s2 long, minima array<long>")
-
-
-def _cut(rows: DataFrame, window: int) -> DataFrame:
-    import pyarrow as pa
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            ids = batch.column(0).to_pylist()
-            found = batch.column(3)
-            begin = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
-            structs = found.values
-            places, lists = structs.field(0).to_numpy(), structs.field(1)
-            inner = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
-            least = lists.values.to_numpy()
-            for doc, text, a, b in zip(ids, batch.column(2), begin[:-1].tolist(), begin[1:].tolist()):
-                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                gone = np.zeros(len(data), bool)
-                if b > a:
-                    n = np.diff(inner[a : b + 1])
-                    starts = np.repeat(places[a:b] - inner[a:b], n) + np.arange(inner[a], inner[b])
-                    gone = covered(starts[least[inner[a] : inner[b]] < doc].astype(np.int64), len(data), window)
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-                out[0].append(len(data))
-                out[1].append(int(gone.sum()))
-                out[2].append(len(edges) // 2)
-                out[3].append(hashlib.sha256(data[~gone].tobytes()).hexdigest())
-                out[4].append(edges.tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_edges"]
-            )
-
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_edges array<long>")
-
-
-def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and span_edges (begin, end, begin, ... of removed runs; null where all or nothing goes) of every row of docs."""
-    rows, slices = sifted(docs, byte_units, window, gram, "suffix", **options)
-    judged = stored(_judged(rows, window), "suffix-rows")
-    closed, still = judged.where("t is null"), judged.where("t is not null")
-    minima = stored(_merged(_stretches(still, slices, window, gram, places=False), window, max(slices * 4, 8)), "suffix-minima")
-    places = _stretches(still, slices, window, gram, places=True)
-    hit = places.join(minima, ["s1", "s2"]).where("array_min(minima) < doc_id")
-    gone = hit.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "minima")).alias("found"))
-    done = _cut(still.select("doc_id", "tag", "t").join(gone, ["doc_id", "tag"], "left").select("doc_id", "tag", "t", "found"), window)
-    cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return closed.select(*cols, F.lit(None).cast("array<long>").alias("span_edges")).unionByName(done)
+    schema = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("span_edges", pa.list_(pa.int64()))])
+    ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_edges array<long>"
+    judge = lambda *a: _judge(*a, window=window)
+    finish = lambda data, spans: _finish(data, spans, window)
+    return dedup(docs, _cut, judge, finish, schema, ddl, window, gram, 0, "suffix", bytes_per_slice, **options)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lawloom.llm import line_chunks, sieve, substring, suffix_array
+from lawloom.llm import line_chunks, sieve, substring, suffix_array, transforms
 
 
 def first_places(rows, units, window):
@@ -43,20 +44,44 @@ def key(r):
     return tuple((x is None, x) for x in r)
 
 
-def test_substrings_equal_brute_force(docs, rows):
+#: production parameters; many small buckets, slices and blocks; nearly every anchor dealt out window by window; a crowded sketch
+OPTIONS = [{}, {"bucket_bytes": 4000, "bytes_per_slice": 20000}, {"bucket_bytes": 20000, "hot": 2}, {"bucket_bytes": 20000, "width": 64}]
+
+
+@pytest.mark.parametrize("options", OPTIONS)
+def test_substrings_equal_brute_force(docs, rows, options):
     want = sorted(((d, len(u), sum(g), hashlib.sha256(" ".join(w for w, x in zip(u, g) if not x).encode()).hexdigest()) for d, u, g in removed(rows, words, 50)), key=key)
-    got = sorted((tuple(r) for r in substring.dedup_substrings(docs, bytes_per_slice=20000).drop("kept_text").collect()), key=key)
-    assert got == want
+    got = substring.dedup_substrings(docs, **options).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=key) == want
+    assert all(r["kept_text"] is None or hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got)
     assert sum(r[2] for r in want) > 500
 
 
-def test_suffixes_equal_brute_force(docs, rows):
+@pytest.mark.parametrize("options", OPTIONS)
+def test_suffixes_equal_brute_force(docs, rows, options):
     want = []
     for d, u, g in removed(rows, lambda t: (t or "").encode(), 50):
         spans = sum(1 for i, x in enumerate(g) if x and (i == 0 or not g[i - 1]))
         want.append((d, len(u), sum(g), spans, hashlib.sha256(bytes(b for b, x in zip(u, g) if not x)).hexdigest()))
-    got = [tuple(r) for r in suffix_array.dedup_suffixes(docs, bytes_per_slice=20000).drop("span_edges").collect()]
-    assert sorted(got, key=key) == sorted(want, key=key)
+    got = suffix_array.dedup_suffixes(docs, **options).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(want, key=key)
+    for r in got:
+        edges = r["span_edges"] or []
+        assert r["n_removed"] == sum(edges[1::2]) - sum(edges[::2])
+
+
+def test_long_texts_are_searched_in_pieces(spark):
+    rng = np.random.default_rng(4)
+    long = " ".join(map(str, rng.integers(0, 10**9, 120_000)))  # five pieces
+    at = long.index(" ", 262_100) + 1
+    passage = long[at - 700 : at + 900]
+    rows = [(1, passage.strip()), (2, long), (3, "x" * 400_000), (4, "y" + "x" * 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_array.dedup_suffixes(docs).collect()}
+    assert (got[2]["n_removed"], got[2]["n_spans"]) == (len(passage.strip()), 1) and got[4]["n_removed"] == 90 and got[3]["n_removed"] == 0
+    inner = passage.strip().split()
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup_substrings(docs).collect()}
+    assert len(inner) - 2 <= got[2] <= len(inner) and got[1] == 0
 
 
 def test_empty_tables(none):
@@ -65,37 +90,63 @@ def test_empty_tables(none):
     assert line_chunks.dedup_lines(none).count() == 0
 
 
-@pytest.mark.parametrize("shard_bytes", [40, 300, 10**6])
-def test_merged_transforms_give_prefixes_and_minima(shard_bytes):
+@pytest.mark.parametrize("n_shards", [1, 2, 7])
+@pytest.mark.parametrize("step", [1, 2, 4])
+def test_merged_transforms_give_prefixes_and_minima(n_shards, step):
     rng = np.random.default_rng(3)
-    strings = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (12, 30, 30, 9, 50)] + [b"abcabcabcabc", b"abcabcabcabc"[::-1]]
-    docs = np.array([5, 3, 9, 1, 7, 2, 4])
-    found = suffix_array.interval_minima(strings, docs, window=6, shard_bytes=shard_bytes)
-    for s, own in zip(strings, found):
-        want = [min(d for t, d in zip(strings, docs) if s[i : i + 6] in t) for i in range(len(s) - 5)]
-        assert own.tolist() == want
-    shards = [suffix_array.build_shard(strings[:3], 6), suffix_array.build_shard(strings[3:], 6)]
-    merged = suffix_array.merge_shards(shards, 6)
-    prefix = suffix_array.common_prefixes(merged)
-    suffixes = []
-    for shard, part in zip(shards, (strings[:3], strings[3:])):
-        for r in shard.rows:
-            i = int(np.searchsorted(shard.begins, r, side="right")) - 1
-            suffixes.append(part[i][r - shard.begins[i] :][:6])
-    ordered = [suffixes[r] for r in merged.rows]
-    assert sorted(merged.rows.tolist()) == list(range(len(suffixes)))
+    strings = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (12, 30, 30, 9, 50)] + [b"abcabcabcabc", b"abcabcabcabc"[::-1], b"\x00\xff\x00\xff\x00\xff\x00"]
+    docs, shard = np.array([5, 3, 9, 1, 7, 2, 4, 6]), np.arange(8) % n_shards
+    lengths, flat = np.array([len(s) for s in strings]), lambda part: np.frombuffer(b"".join(part), np.uint8)
+    found = transforms.interval_minima(lengths, flat(strings), shard, docs, 6, step).tolist()
+    assert found == [min(d for t, d in zip(strings, docs) if s[i : i + 6] in t) for s in strings for i in range(len(s) - 5)]
+    shards, own = [], []
+    for k in range(n_shards):
+        part = [i for i in range(8) if shard[i] == k]
+        shards.append(transforms.build_shard(lengths[part], flat([strings[i] for i in part]), 6))
+        at = np.searchsorted(shards[-1].begins, shards[-1].rows, side="right") - 1
+        own += [(part[i], r - shards[-1].begins[i]) for i, r in zip(at, shards[-1].rows)]
+    merged = transforms.merge_shards(shards, 6, step)
+    assert sorted(merged.rows.tolist()) == list(range(len(own)))
+    string, offset = np.array(own)[merged.rows].T
+    ordered = [strings[i][o:][:6] for i, o in zip(string, offset)]
     assert all(a <= b for a, b in zip(ordered, ordered[1:]))
+    prefix = transforms.common_prefixes(merged, strings, string, offset, 6)
     for i in range(1, len(ordered)):
         a, b = ordered[i - 1], ordered[i]
         n = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
-        assert prefix[i] == n and bool(merged.starts[i]) == (n < 6)
-
-
-def test_estimates_are_never_low():
-    cells = np.random.default_rng(1).integers(0, 5000, 20000).astype(np.uint32)
-    true = Counter(cells.tolist())
-    est = sieve.estimates(cells, 1 << 10)
-    assert all(e >= min(true[c], 255) for c, e in zip(cells.tolist(), est.tolist()))
+        assert prefix[i] == n and (merged.prefixes[i] < 6) == (n < 6) and n - step < merged.prefixes[i] <= n
+
+
+def test_merging_sorts_no_suffix_and_skips_settled_rows(monkeypatch):
+    strings = [bytes(np.random.default_rng(i % 5).integers(97, 123, 60).astype(np.uint8)) for i in range(40)]
+    shards = [transforms.build_shard(np.full(10, 60), np.frombuffer(b"".join(strings[i::4]), np.uint8), 50) for i in range(4)]
+    stable = []
+    argsort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, kind=None, **k: stable.append((kind, a.dtype)) or argsort(a, kind=kind, **k))
+    merged = transforms.merge_shards(shards, 50, 1)
+    # counting passes over characters only
+    assert all(kind == "stable" and dtype == np.uint16 for kind, dtype in stable) and merged.passes == 49
+    apart = [bytes(np.random.default_rng(i).integers(97, 123, 60).astype(np.uint8)) for i in range(40)]
+    shards = [transforms.build_shard(np.full(10, 60), np.frombuffer(b"".join(apart[i::4]), np.uint8), 50) for i in range(4)]
+    assert transforms.merge_shards(shards, 50, 1).moved < 5 * len(merged.rows) < merged.moved
+
+
+def test_merged_sketches_are_never_low():
+    rng = np.random.default_rng(1)
+    buckets = [np.unique(rng.integers(0, 3000, 900).astype(np.uint64)) for _ in range(5)]
+    width, rows = 256, []
+    for i, own in enumerate(buckets):
+        _, cells = sieve.cells_of(own, 1, width)
+        cells, counts = np.unique(cells.ravel(), return_counts=True)
+        assert sieve.unpack(sieve.pack(cells)).tolist() == cells.tolist()
+        rows.append((0, i, sieve.pack(cells), counts.astype(np.uint16).tobytes()))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["slice", "bucket", "cells", "counts"])
+    told = {r["bucket"]: set(sieve.unpack(r["cells"]).tolist()) for r in next(sieve._add_up(width, 4)(iter([batch]))).to_pylist()}
+    true = Counter(x for own in buckets for x in own.tolist())
+    for i, own in enumerate(buckets):
+        _, cells = sieve.cells_of(own, 1, width)
+        for x, (a, b) in zip(own.tolist(), cells.tolist()):
+            assert true[x] < 2 or (a in told[i] and b in told[i])
 
 
 def test_lines_equal_brute_force(docs, rows):
