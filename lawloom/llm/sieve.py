@@ -390,8 +390,9 @@ def dedup(docs: DataFrame, cut: Cut, judge: Judge, finish: Callable, schema, ddl
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t")).withColumn("sha", F.unhex(F.sha2("t", 256)))
     slim = stored(keyed.select("doc_id", "sha", F.octet_length("t").cast("long").alias("n")), f"{name}-digests")
     total = int(slim.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    buckets, slices = max(1, -(-total // bucket_bytes)), max(1, -(-total // bytes_per_slice))
-    parts = max(-(-buckets // 2), spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    buckets, slices = max(2 * cores, -(-total // bucket_bytes)), max(1, -(-total // bytes_per_slice))
+    parts = max(-(-buckets // 2), cores)
     number = F.pmod(F.xxhash64("doc_id", "sha"), F.lit(buckets)).cast("int").alias("bucket")
     dealt = keyed.select("doc_id", "t", "sha", number).repartition(parts, "bucket")
 
