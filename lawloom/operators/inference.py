@@ -125,12 +125,19 @@ def level_shifts(rows: DataFrame, by: list[str], order: str, value: str) -> Data
     return rows.withColumn("_p", p).where(F.col("_p").isNotNull() & (F.col(value) != F.col("_p"))).select(*by, F.col(order).alias("at"))
 
 
-def change_points(rows: DataFrame, by: list[str], order: str, value: str, penalty: float, least: int = 2) -> DataFrame:
-    """PELT for mean shifts: exact minimiser of squared error plus a penalty for each change, of each series."""
+def change_points(rows: DataFrame, by: list[str], order: str, value: str, penalty: float | None = None, least: int = 2) -> DataFrame:
+    """PELT for mean shifts: exact minimiser of squared error plus a penalty for each change, of each series.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    Without a penalty a change costs the series' own noise (half the variance of its first differences)
+    times the logarithm of its length, so the unit of the values doesn't matter. A series of under two
+    segments has no change.
+    """
+
+    def run(group: pd.DataFrame, penalty: float | None = penalty) -> pd.DataFrame:
         x = group.sort_values(order)[value].to_numpy(float)
         n = len(x)
+        if penalty is None:
+            penalty = float(np.var(np.diff(x)) / 2 * np.log(n)) if n > 1 else 0.0
         s, q = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
         cost = np.full(n + 1, np.inf)
         cost[0], back, live = -penalty, np.zeros(n + 1, int), np.array([0])
@@ -148,7 +155,7 @@ def change_points(rows: DataFrame, by: list[str], order: str, value: str, penalt
         return pd.DataFrame({**{k: np.repeat(group[k].iloc[:1].to_numpy(dtype=object), len(out)) for k in by}, "at": np.array(sorted(out), np.int64)})
 
     keys = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)
-    return rows.select(*by, order, value).groupBy(*by).applyInPandas(run, f"{keys}, at long")
+    return rows.select(*by, order, value).groupBy(*by).applyInPandas(lambda group: run(group), f"{keys}, at long")
 
 
 def local_level(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

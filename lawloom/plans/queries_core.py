@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lawloom.operators import features, fits, folds, scoring, snapshot
 from lawloom.plans.registry import query
 from lawloom.sources import ingestion
-from lawloom.sources.panels import I1, I4, P1, P2, P3, P5, daily_totals, erasures, late_arrivals, monthly_totals, revisions
+from lawloom.sources.panels import I1, I4, P1, P2, P3, P5, daily_totals, erasures, late_arrivals, monthly_totals, revisions, table
 
 CUTOFF, MIN_TRAIN, HORIZON = "2024-01-20 00:00:00", 5, 3
 DAY = lambda c: F.date_format(c, "yyyy-MM-dd")
@@ -32,10 +32,25 @@ def monthly(spark, d) -> DataFrame:
 
 
 @query("ingest_observations", f"""WITH {P2} SELECT entity, strftime(event_time, '%Y-%m-%dT%H:%M:%SZ') AS event_time, strftime(date_trunc('second', available_at), '%Y-%m-%dT%H:%M:%SZ') AS available_at,
- target, revision_id, source_id, len(props) AS props_length FROM p2""")
+ target, revision_id, source_id, CAST(revision_id AS VARCHAR) AS side_revision, len(props) AS props_length FROM p2""")
 def ingest_observations(spark, d):
     rows = ingestion.ingest(revisions(spark, d))
-    return rows.select("entity", "event_time", "available_at", "target", "revision_id", "source_id", F.length(F.regexp_replace(F.regexp_replace(F.element_at("side_information", "props"), r'^"|"$', ""), r'\\"', '"')).cast("long").alias("props_length"))
+    side = lambda k: F.element_at("side_information", k)
+    return rows.select("entity", "event_time", "available_at", "target", "revision_id", "source_id", side("revision_id").alias("side_revision"), F.length(F.regexp_replace(F.regexp_replace(side("props"), r'^"|"$', ""), r'\\"', '"')).cast("long").alias("props_length"))
+
+
+@query("ingest_side_values", """SELECT o_orderpriority AS entity, CAST(o_orderkey AS VARCHAR) AS key, CASE o_orderstatus WHEN 'F' THEN 'true' WHEN 'O' THEN 'false' END AS flag, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey AS VARCHAR) END AS count,
+ '"' || o_orderstatus || ' \\"quoted\\""' AS label, '"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '"' AS moment, CASE WHEN o_orderstatus = 'P' THEN CAST(4 AS INT) ELSE CAST(7 AS INT) END AS fields FROM orders""")
+def ingest_side_values(spark, d):
+    """Side columns as text and typed: truth values, whole numbers, text with quotes, times, blanks."""
+    o, status = table(spark, d, "orders"), F.col("o_orderstatus")
+    rows = o.select(
+        F.col("o_orderpriority").alias("entity"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("event_time"), F.col("o_orderdate").alias("available_at"), F.col("o_totalprice").cast("string").alias("target"), F.col("o_orderkey").alias("key"),
+        F.when(status == "F", " TRUE").when(status == "O", "False ").otherwise(" ").alias("flag"), F.when(status != "P", F.concat(F.lit("+"), F.col("o_custkey").cast("string"))).alias("count"), F.concat(status, F.lit(' "quoted"')).alias("label"), F.col("o_orderdate").alias("moment"),
+        F.when(status == "P", float("nan")).otherwise(F.col("o_totalprice")).alias("price"), F.create_map(F.lit("a"), status, F.lit("b"), F.lit(None).cast("string")).alias("nested"),
+    )
+    side = lambda k: F.try_element_at("side_information", F.lit(k)).alias(k)
+    return ingestion.ingest(rows).select("entity", side("key"), side("flag"), side("count"), side("label"), side("moment"), F.size("side_information").alias("fields"))
 
 
 @query("target_transforms", f"""WITH {I1}, l AS (SELECT *, lag(target) OVER (PARTITION BY entity ORDER BY idx) AS p FROM i1)
@@ -207,10 +222,12 @@ def paired_comparators(spark, d):
     return j.select("family", "n_pairs", R("m", 4).alias("mean_difference"), scoring.practical_significance(F.col("m"), 1.0).alias("status"))
 
 
-@query("key_set_equality", f"WITH {PAIRS} SELECT count(*) AS n_keys, CAST(0 AS BIGINT) AS n_unmatched, 'comparable' AS status FROM c")
+@query("key_set_equality", f"""WITH {LOSSES}, c AS (SELECT DISTINCT {', '.join(KEYS)} FROM lss WHERE family = 'linear_trend' AND horizon < 3), b AS (SELECT DISTINCT {', '.join(KEYS)} FROM lss WHERE family = 'constant' AND origin_index % 2 = 0),
+ u AS (SELECT * FROM c UNION SELECT * FROM b), i AS (SELECT * FROM c INTERSECT SELECT * FROM b) SELECT count(*) AS n_keys, count(*) - (SELECT count(*) FROM i) AS n_unmatched, CASE WHEN count(*) = (SELECT count(*) FROM i) THEN 'comparable' ELSE 'not_comparable' END AS status FROM u""")
 def key_set_equality(spark, d):
+    """Two panels that differ on both sides."""
     rows = losses_of(spark, d)
-    return scoring.same_keys(rows.where("family = 'linear_trend'"), rows.where("family = 'constant'"), KEYS)
+    return scoring.same_keys(rows.where("family = 'linear_trend' and horizon < 3"), rows.where("family = 'constant' and origin_index % 2 = 0"), KEYS)
 
 
 @query("prequential_group_means", f"WITH {PAIRS} SELECT 'horizon' AS dimension, CAST(horizon AS VARCHAR) AS level, count(*) AS n, {S('avg(diff)', 4)} AS mean_loss_difference FROM df GROUP BY horizon UNION ALL SELECT 'entity', entity, count(*), {S('avg(diff)', 4)} FROM df GROUP BY entity")
@@ -236,10 +253,16 @@ def residual_summary(spark, d):
     return scoring.residual_summary(rows, ["family"]).select("family", "n", "n_horizons", R("mean_residual", 4).alias("mean_residual"), R("rmse", 4).alias("rmse"))
 
 
-@query("residual_validation", f"WITH {LOSSES} SELECT family, count(*) AS n, CAST(0 AS BIGINT) AS n_invalid FROM lss GROUP BY family")
+@query("residual_validation", f"""WITH {LOSSES}, r AS (SELECT family, horizon = 3 AS shifted, origin_index % 7 = 0 AS wrong, origin_index % 11 = 0 AS missing FROM lss), c AS (SELECT family, shifted, wrong AND NOT missing AS wrong, missing FROM r)
+ SELECT family, count(*) AS n, CAST(count(*) FILTER (shifted) AS BIGINT) AS n_geometry, CAST(count(*) FILTER (wrong) AS BIGINT) AS n_mismatch, CAST(count(*) FILTER (missing) AS BIGINT) AS n_nonfinite, CAST(count(*) FILTER (shifted OR wrong OR missing) AS BIGINT) AS n_invalid FROM c GROUP BY family""")
 def residual_validation(spark, d):
-    rows = losses_of(spark, d).withColumn("target_index", F.col("origin_index") + F.col("horizon")).withColumn("residual", F.col("realized") - F.col("forecast"))
-    return scoring.residual_flags(rows).groupBy("family").agg(F.count("*").alias("n"), F.sum((F.size("reason_codes") > 0).cast("long")).alias("n_invalid"))
+    """Rows spoiled on purpose: a shifted target, a residual that isn't realized minus forecast, a missing one."""
+    rows = losses_of(spark, d)
+    origin, h = F.col("origin_index"), F.col("horizon")
+    residual = F.when(origin % 11 == 0, None).otherwise(F.col("realized") - F.col("forecast") + F.when(origin % 7 == 0, 1.0).otherwise(0.0))
+    rows = rows.withColumn("target_index", origin + h + F.when(h == 3, 1).otherwise(0)).withColumn("residual", residual)
+    has = lambda c: F.sum(F.array_contains("reason_codes", c).cast("long"))
+    return scoring.residual_flags(rows).groupBy("family").agg(F.count("*").alias("n"), has("horizon_geometry_mismatch").alias("n_geometry"), has("residual_mismatch").alias("n_mismatch"), has("nonfinite_residual").alias("n_nonfinite"), F.sum((F.size("reason_codes") > 0).cast("long")).alias("n_invalid"))
 
 
 AR = I4 + ", l4 AS (SELECT *, lag(target) OVER (PARTITION BY entity ORDER BY idx) AS lag_1 FROM i4), a4 AS (SELECT * FROM l4 WHERE lag_1 IS NOT NULL)"
@@ -285,10 +308,15 @@ def spectral_fits(spark, d):
     return fits.spectral_fit(monthly(spark, d), [1, 2], 12).select("entity", "harmonic", R("cosine", 3).alias("cosine"), R("sine", 3).alias("sine"))
 
 
-@query("fourier_reconstruction", f"WITH {I1} SELECT entity, idx, {S('target', 5)} AS fitted FROM i1")
+@query("fourier_reconstruction", f"""WITH {I1}, n AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM i1), k AS (SELECT CAST(unnest(range(0, 4)) AS INT) AS harmonic),
+ c AS (SELECT entity, any_value(n) AS n, harmonic, sum(target * cos(2 * pi() * harmonic * idx / n)) * CASE WHEN harmonic = 0 OR 2 * harmonic = any_value(n) THEN 1.0 ELSE 2.0 END / any_value(n) AS c, sum(target * sin(2 * pi() * harmonic * idx / n)) * CASE WHEN harmonic = 0 OR 2 * harmonic = any_value(n) THEN 1.0 ELSE 2.0 END / any_value(n) AS s FROM n JOIN k ON harmonic <= floor(n / 2) GROUP BY entity, harmonic)
+ SELECT i1.entity, idx, {S('sum(c * cos(2 * pi() * harmonic * idx / n) + s * sin(2 * pi() * harmonic * idx / n))', 4)} AS fitted, {S('max(CASE WHEN harmonic = 2 THEN c END)', 4)} AS cosine_2, {S('max(CASE WHEN harmonic = 2 THEN s END)', 4)} AS sine_2 FROM i1 JOIN c USING (entity) GROUP BY 1, 2""")
 def fourier_reconstruction(spark, d):
+    """A spectrum cut after three harmonics, and the series that it gives."""
     rows = daily(spark, d)
-    return fits.fourier_values(rows, fits.fourier(rows, 1000)).select("entity", F.col("idx").cast("long").alias("idx"), R("fitted", 5).alias("fitted"))
+    spectrum = fits.fourier(rows, 3)
+    second = spectrum.where("harmonic = 2").select("entity", R("cosine", 4).alias("cosine_2"), R("sine", 4).alias("sine_2"))
+    return fits.fourier_values(rows, spectrum).join(second, "entity", "left").select("entity", F.col("idx").cast("long").alias("idx"), R("fitted", 4).alias("fitted"), "cosine_2", "sine_2")
 
 
 @query("piecewise_fits", f"WITH {AR}, m AS (SELECT entity, avg(target) AS g FROM i4 GROUP BY entity), p AS (SELECT a4.*, CASE WHEN lag_1 < g THEN 'below' ELSE 'above' END AS branch FROM a4 JOIN m USING (entity)), f AS (SELECT entity, branch, count(*) AS n, {OLS(x='lag_1', y='target')} AS slope, avg(target) AS ym, avg(lag_1) AS xm FROM p GROUP BY 1, 2) SELECT entity, branch, n, {S('ym - slope * xm', 2)} AS intercept, {S('slope', 4)} AS slope FROM f")

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 #: Accepted names of the canonical columns, in order of preference.
 ALIASES = {
-    "entity": ("entity", "entity_id", "series_id"),
-    "event_time": ("event_time", "timestamp", "date"),
+    "entity": ("entity", "series_id"),
+    "event_time": ("event_time",),
     "available_at": ("availability_time", "available_at"),
-    "target": ("target", "value", "observed_value"),
-    "revision_id": ("revision_id", "revision"),
-    "source_id": ("source_id", "source"),
+    "target": ("target", "observed_value"),
+    "source_id": ("source_id",),
 }
+#: What a row must have; only the target and the source may be missing.
+REQUIRED = ("entity", "event_time", "available_at")
 ISO_WITH_OFFSET = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})$"
 
 
-def alias_of(columns: list[str], field: str) -> str | None:
-    """The first alias that is a column, whatever its values."""
-    return next((a for a in ALIASES[field] if a in columns), None)
+def alias_of(columns: list[str], field: str, also: dict[str, str] | None = None) -> str | None:
+    """The first alias that is a column, whatever its values; ``also`` names a column of the caller's."""
+    return next((a for a in (*ALIASES[field], *([also[field]] if also and field in also else [])) if a in columns), None)
 
 
 def canonical_timestamp(text: Column) -> Column:
@@ -42,35 +43,70 @@ def target_value(text: Column) -> Column:
 
 
 def typed_side_value(text: Column) -> Column:
-    """JSON text of a cell: true/false, integers, decimals, else a string; blanks are null."""
+    """JSON text of a cell: true/false, integers, decimals (finite), else a string; blanks are null."""
     t = F.trim(text)
     low = F.lower(t)
-    return F.when(t == "", None).when(low.isin("true", "false"), low).when(t.rlike(r"^[+-]?\d+$"), t.cast("decimal(38,0)").cast("string")).when(t.rlike(r"^[+-]?(\d+\.\d*|\.?\d+)([eE][+-]?\d+)?$"), t.cast("double").cast("string")).otherwise(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(t, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"')))
-
-
-def ingest(df: DataFrame, source_label: str = "dataframe") -> DataFrame:
-    """Canonical rows of text or typed columns: entity, event_time, available_at (UTC text), target, revision_id, source_id, side_information, payload_hash."""
+    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(t, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    number = finite(t.try_cast("double")).cast("string")
+    return F.when(t == "", None).when(low.isin("true", "false"), low).when(t.rlike(r"^[+-]?\d+$"), t.cast("decimal(38,0)").cast("string")).when(t.rlike(r"^[+-]?(\d+\.\d*|\.?\d+)([eE][+-]?\d+)?$"), number).otherwise(quoted)
+
+
+def side_value(c: Column, kind) -> Column:
+    """JSON text of a side column of any type: text by its looks, times in canonical form, nested values as they are without their nulls; NaN is missing."""
+    name = kind.typeName()
+    if name == "string":
+        return typed_side_value(c)
+    if name in ("timestamp", "timestamp_ntz", "date"):
+        return F.concat(F.lit('"'), F.date_format(c.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"'))
+    if name in ("float", "double"):
+        return finite(F.when(~F.isnan(c), c.cast("double"))).cast("string")
+    if name in ("struct", "map", "array"):
+        return F.to_json(F.filter(c, lambda x: x.isNotNull()) if name == "array" else F.map_filter(c, lambda _, v: v.isNotNull()) if name == "map" else c)
+    return F.lower(c.cast("string"))
+
+
+def ingest(df: DataFrame, source_label: str = "dataframe", also: dict[str, str] | None = None) -> DataFrame:
+    """Canonical rows of text or typed columns: entity, event_time, available_at (UTC text), target, source_id, side_information (JSON texts), payload_hash.
+
+    A row without an entity or one of the two times is an error, and so is an empty table; nothing is
+    filled in. Every column that is no alias is side information. ``also`` names columns to take for a
+    canonical one. A column ``revision_id`` is side information, too, and also carried along for tables that number their revisions.
+    """
     cols = df.columns
-    pick = {f: alias_of(cols, f) for f in ALIASES}
-    missing = [f for f in ("event_time", "target") if pick[f] is None]
-    if missing:
-        raise ValueError(f"missing_required_field: {missing}")
-    time = lambda c: F.col(c) if df.schema[c].dataType.simpleString() == "string" else F.date_format(F.col(c).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    event = canonical_timestamp(time(pick["event_time"]))
-    rest = sorted(c for c in cols if c not in pick.values())
-    side = F.map_filter(F.create_map(*(x for c in rest for x in (F.lit(c), typed_side_value(F.col(c).cast("string"))))), lambda _, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
+    pick = {f: alias_of(cols, f, also) for f in ALIASES}
+    for f in (*REQUIRED, "target"):
+        if pick[f] is None:
+            raise ValueError(f"missing_required_field: {f} (accepted: {', '.join(ALIASES[f])})")
+    if df.limit(1).count() == 0:
+        raise ValueError(f"empty_dataset: {source_label}")
+    need = lambda c, f: F.coalesce(c, F.raise_error(F.lit(f"missing_required_field: {f}")).cast("string"))
+    time = lambda f: F.col(pick[f]) if df.schema[pick[f]].dataType.simpleString() == "string" else F.date_format(F.col(pick[f]).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    text = lambda c: F.nullif(F.trim(c.cast("string")), F.lit(""))
+    excluded = {a for names in ALIASES.values() for a in names} | {c for c in pick.values() if c}
+    rest = sorted(c for c in cols if c not in excluded)
+    side = F.map_filter(F.create_map(*(x for c in rest for x in (F.lit(c), side_value(F.col(f"`{c}`"), df.schema[c].dataType)))), lambda _, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
     value = F.col(pick["target"])
     out = df.select(
-        (F.coalesce(F.nullif(F.trim(F.col(pick["entity"]).cast("string")), F.lit("")), F.lit(source_label)) if pick["entity"] else F.lit(source_label)).alias("entity"),
-        event.alias("event_time"), (canonical_timestamp(time(pick["available_at"])) if pick["available_at"] else event).alias("available_at"),
+        need(text(F.col(pick["entity"])), "entity").alias("entity"), *(need(canonical_timestamp(text(time(f))), f).alias(f) for f in ("event_time", "available_at")),
         (target_value(value) if df.schema[pick["target"]].dataType.simpleString() == "string" else finite(F.when(~F.isnan(value.cast("double")), value.cast("double")))).alias("target"),
-        (F.col(pick["revision_id"]).cast("long") if pick["revision_id"] else F.lit(0).cast("long")).alias("revision_id"),
-        (F.col(pick["source_id"]).cast("string") if pick["source_id"] else F.lit(source_label)).alias("source_id"), side.alias("side_information"),
+        (text(F.col(pick["source_id"])) if pick["source_id"] else F.lit(None).cast("string")).alias("source_id"), side.alias("side_information"),
+        *([F.col("revision_id").cast("long").alias("revision_id")] if "revision_id" in cols else []),
     )
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("entity", "event_time", "available_at", "target", "revision_id", "source_id")]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("entity", "event_time", "available_at", "target", "source_id")]
     return out.withColumn("payload_hash", F.sha2(F.concat_ws("|", *parts, F.to_json(F.map_from_entries(F.array_sort(F.map_entries("side_information"))))), 256))
 
 
+def admitted(rows: DataFrame) -> DataFrame:
+    """Ingested rows with their place in the data set's total order: entity, the two times, payload. Numbered by entity, so no task sorts the whole table."""
+    w = Window.partitionBy("entity").orderBy("event_time", "available_at", "payload_hash")
+    return rows.withColumn("position", F.row_number().over(w) - 1)
+
+
+def entity_panel(rows: DataFrame) -> DataFrame:
+    """The distinct entities, sorted when shown."""
+    return rows.select("entity").distinct()
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text; types are decided by ``ingest``, never inferred."""
     return ingest(spark.read.csv(path, header=True, inferSchema=False), "csv")

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Unset, a local session gets a folder of its own; a cluster, which could not share it, an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+    return f"{base or '/tmp/checkpoints'}/lawloom"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write under spark.checkpoint.dir (a default where that is unset) and read back: cuts the lineage."""
+    """Write under the shared folder and read back: cuts the lineage."""
     spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/lawloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

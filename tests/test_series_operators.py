@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lawloom.functions import coding, distributions, expression, programs
-from lawloom.operators import calibration, composition, features, fits, folds, gates, inference, lineage, scoring, selection, snapshot
+from lawloom.operators import calibration, composition, features, fits, folds, gates, inference, lineage, paths, scoring, selection, snapshot
 from lawloom.sources import ingestion
 
 
@@ -188,21 +188,60 @@ def test_calibration_bins(spark):
 
 
 def test_ingestion(spark, tmp_path):
-    rows = [("a", "2024-01-01T02:00:00.7+02:00", "1.5", "7", "true"), (" ", "2024-01-02T00:00:00Z", "nan", "x y", ""), ("b", "2024-01-03T00:00:00Z", " ", "2.50", None)]
-    spark.createDataFrame(rows, "entity_id string, timestamp string, value string, extra string, flag string").write.csv(f"{tmp_path}/in", header=True)
-    got = {r["event_time"]: r for r in ingestion.read_csv(spark, f"{tmp_path}/in").collect()}
+    known = "2024-02-01T00:00:00Z"
+    rows = [("a", "2024-01-01T02:00:00.7+02:00", known, "1.5", "7", "true"), ("c", "2024-01-02T00:00:00Z", known, "nan", "x y", ""), ("b", "2024-01-03T00:00:00Z", known, " ", "2.50", None)]
+    names = "series_id string, event_time string, available_at string, observed_value string, value string, flag string"
+    spark.createDataFrame(rows, names).write.csv(f"{tmp_path}/in", header=True)
+    got = {r["event_time"]: r for r in ingestion.admitted(ingestion.read_csv(spark, f"{tmp_path}/in")).collect()}
     a = got["2024-01-01T00:00:00Z"]
-    assert a["entity"] == "a" and a["target"] == 1.5 and a["side_information"] == {"extra": "7", "flag": "true"}
+    # a side column named value is no target
+    assert a["entity"] == "a" and a["target"] == 1.5 and a["side_information"] == {"value": "7", "flag": "true"} and a["source_id"] is None
     b = got["2024-01-02T00:00:00Z"]
-    assert b["entity"] == "csv" and b["target"] is None and b["side_information"] == {"extra": '"x y"'}
-    assert len({r["payload_hash"] for r in got.values()}) == 3
-    bad = spark.createDataFrame([("2024-01-01 00:00:00", "1")], "timestamp string, value string")
+    assert b["target"] is None and b["side_information"] == {"value": '"x y"'}
+    assert len({r["payload_hash"] for r in got.values()}) == 3 and {r["position"] for r in got.values()} == {0}
+    bad = lambda *row: ingestion.ingest(spark.createDataFrame([row], "entity string, event_time string, availability_time string, target string")).collect()
     with pytest.raises(Exception, match="invalid_timestamp"):
-        ingestion.ingest(bad).collect()
+        bad("a", "2024-01-01 00:00:00", known, "1")
+    with pytest.raises(Exception, match="missing_required_field: entity"):
+        bad(" ", known, known, "1")
+    with pytest.raises(Exception, match="missing_required_field: available_at"):
+        bad("a", known, None, "1")
+    with pytest.raises(Exception, match="nonfinite"):
+        bad("a", known, known, "inf")
+    with pytest.raises(ValueError, match="missing_required_field: available_at"):
+        ingestion.ingest(spark.createDataFrame([("a", known, 1.0)], "entity string, event_time string, target double"))
+    with pytest.raises(ValueError, match="missing_required_field: target"):
+        ingestion.ingest(spark.createDataFrame([("a", known, known, 1.0)], "entity string, event_time string, available_at string, value double"))
+    with pytest.raises(ValueError, match="empty_dataset"):
+        ingestion.ingest(spark.createDataFrame([], "entity string, event_time string, available_at string, target double"))
+    own = spark.createDataFrame([("a", known, known, 1.0)], "entity string, event_time string, available_at string, value double")
+    assert ingestion.ingest(own, also={"target": "value"}).first()["target"] == 1.0
     ingestion.write_csv(ingestion.read_csv(spark, f"{tmp_path}/in"), f"{tmp_path}/out")
     assert spark.read.csv(f"{tmp_path}/out", header=True).count() == 3
-    with pytest.raises(Exception, match="nonfinite"):
-        ingestion.ingest(spark.createDataFrame([("2024-01-01T00:00:00Z", "inf")], "timestamp string, value string")).collect()
+
+
+def test_forecast_paths(spark):
+    one = spark.createDataFrame([(10.0, "x", {"intercept": 1.0, "lag_coefficient": 0.5}, {"level": 4.0}, None)], "origin_value double, entity string, parameters map<string,double>, state map<string,double>, residual_lag_1 double")
+    values = lambda form, m=None, **o: [r["forecast"] for r in paths.forecast_path(one if m is None else one.withColumn("parameters", F.create_map(*(x for k, v in m.items() for x in (F.lit(k), F.lit(v))))), form, 2, **o).orderBy("horizon").collect()]
+    assert values("analytic") == [6.0, 4.0] and values("recursive") == [4.0, 4.0]
+    assert values("analytic", {"intercept": 3.0}) == [3.0, 3.0]
+    assert values("analytic", {"horizon_1__intercept": 2.0, "horizon_1__lag_coefficient": 0.1}) == [3.0, None]
+    assert values("additive_residual", {"b.intercept": 1.0, "r.intercept": 2.0, "r.lag_coefficient": 1.0}, base="b", residual="r") == [3.0, 5.0]
+    assert values("shared_plus_local", {"shared_intercept": 1.0, "local_adjustment__x": 1.0}) == [2.0, 2.0]
+    assert values("shared_plus_local", {"shared_intercept": 1.0, "local_adjustment__x": 1.0, "shared_lag_coefficient": 9.0, "local_lag_coefficient__x": 0.0}) == [2.0, 2.0]
+    with pytest.raises(Exception, match="unseen_entity"):
+        values("shared_plus_local", {"shared_intercept": 1.0})
+    with pytest.raises(ValueError, match="unsupported_prediction_candidate"):
+        values("other")
+    z = spark.createDataFrame([(x / 7,) for x in range(-280, 281)], "z double")
+    worst = z.withColumn("p", distributions.normal_cdf(F.col("z"))).toPandas().apply(lambda r: abs(r["p"] - (1 + math.erf(r["z"] / math.sqrt(2))) / 2), axis=1).max()
+    assert worst < 1e-14
+
+
+def test_algorithmic_path():
+    # the program's own emits are what it sees after the origin
+    text = "(program (state (lit 0)) (next (add (mul (lit 1/2) (obs 0)) (lit 1))) (emit (state 0)))"
+    assert programs.path(text, [4.0, 8.0], 3) == [5.0, 3.5, 2.75]
 
 
 def test_lineage(spark):
