@@ -416,14 +416,15 @@ def regime_probabilities(spark, d):
     return inference.regime_identifiability(inference.regime_switching(rows, ["entity"], "idx", "target"), rows, ["entity"], "idx", "target").select("entity", R("min_separation", 2).alias("min_separation"), R("mean_confidence", 4).alias("mean_confidence"))
 
 
-@query("lineage_closure", """WITH RECURSIVE e AS (SELECT DISTINCT 'order:' || l_orderkey AS parent, 'part:' || l_partkey AS child FROM lineitem UNION SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey FROM lineitem),
- c AS (SELECT DISTINCT parent AS root, parent AS node FROM e WHERE parent LIKE 'order:%' UNION SELECT c.root, e.child FROM c JOIN e ON e.parent = c.node) SELECT root, node FROM c""")
+@query("lineage_closure", """WITH RECURSIVE e AS (SELECT 'region:' || n_regionkey AS parent, 'nation:' || n_nationkey AS child FROM nation UNION SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey FROM supplier UNION SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey FROM lineitem),
+ c AS (SELECT 'region:' || r_regionkey AS root, 'region:' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT c.root, e.child, c.depth + 1 FROM c JOIN e ON e.parent = c.node) SELECT root, node, CAST(min(depth) AS INT) AS depth FROM c GROUP BY 1, 2""")
 def lineage_closure(spark, d):
-    li = table(spark, d, "lineitem")
+    """What each region leads to, over nations, suppliers and the parts they deliver."""
     name = lambda k, c: F.concat(F.lit(k + ":"), F.col(c).cast("string"))
-    a = li.select(name("order", "l_orderkey").alias("parent"), name("part", "l_partkey").alias("child"))
-    b = li.select(name("part", "l_partkey").alias("parent"), name("supplier", "l_suppkey").alias("child"))
-    return lineage.closure(a.unionByName(b).distinct(), a.select(F.col("parent").alias("node"))).select("root", "node")
+    edges = table(spark, d, "nation").select(name("region", "n_regionkey").alias("parent"), name("nation", "n_nationkey").alias("child"))
+    edges = edges.unionByName(table(spark, d, "supplier").select(name("nation", "s_nationkey").alias("parent"), name("supplier", "s_suppkey").alias("child")))
+    edges = edges.unionByName(table(spark, d, "lineitem").select(name("supplier", "l_suppkey").alias("parent"), name("part", "l_partkey").alias("child")).distinct())
+    return lineage.closure(edges, table(spark, d, "region").select(name("region", "r_regionkey").alias("node"))).select("root", "node", "depth")
 
 
 @query("manifest_upsert", "SELECT 'r' || (n_regionkey) AS run_id, n_name AS manifest_id, 'sha256:' || sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}') AS content_hash FROM nation")
