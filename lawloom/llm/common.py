@@ -23,8 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset, a default."""
+    """The folder that spark.checkpoint.dir names. Unset, a local session gets a folder of its own; a cluster, which could not share it, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
     return f"{base or '/tmp/checkpoints'}/lawloom"
 
 
@@ -40,6 +42,15 @@ def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def wrapped(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs as one column ``row`` beside columns of one's own, so no name of the input can clash with them."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *more)
+
+
+def unwrapped(rows: DataFrame, columns: list[str], row: str = "row") -> DataFrame:
+    return rows.select(*(F.col(row).getField(c).alias(c) for c in columns))
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """What tells rows apart where doc_id may repeat or be null: the id and 64 bits of the text."""
     return [F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash")]

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawloom.llm.common import BASES, U64, byte_columns, chunks, mix, rolling, row_key, span_hashes, stored, table, text_or_empty, words_of
+from lawloom.llm.common import BASES, U64, byte_columns, chunks, mix, rolling, row_key, span_hashes, stored, table, text_or_empty, unwrapped, words_of, wrapped
 
 SPAN, LEAST, BITS = 13, 5, 1 << 24
 _PUNCTUATION = np.zeros(256, bool)
@@ -196,8 +196,8 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, span: int) -> tupl
     return a + first, last - first, int(sums[last] - sums[first])
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFrame:
-    """One row for each document and item that overlap: doc_id, text_hash, item_id, doc_token, item_token, n_tokens, n_same (of the longest overlap)."""
+def verified_overlaps(docs: DataFrame, items: DataFrame, span: int = SPAN, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, seq, doc_token, item_token, n_tokens, n_same of each verified diagonal; the items' ids and token lists). seq: hash of an item's tokens."""
     import pyarrow as pa
 
     toks = stored(benchmark_tokens(items), "benchmark-tokens")
@@ -232,6 +232,12 @@ def find_overlaps(docs: DataFrame, items: DataFrame, span: int = SPAN, least: in
             )
 
     found = full.select("seq", "diagonal", "start", "doc_tokens", "tokens", "doc_id", "text_hash").mapInArrow(verify, f"doc_id {kind}, text_hash long, seq long, doc_token long, item_token long, n_tokens long, n_same long")
+    return found, toks
+
+
+def find_overlaps(docs: DataFrame, items: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFrame:
+    """One row for each document and item that overlap: doc_id, text_hash, item_id, doc_token, item_token, n_tokens, n_same (of the longest overlap)."""
+    found, toks = verified_overlaps(docs, items, span, least)
     best = found.groupBy("doc_id", "text_hash", "seq").agg(F.max(F.struct("n_same", "n_tokens", -F.col("doc_token"), -F.col("item_token"))).alias("m"))
     best = best.select("doc_id", "text_hash", "seq", (-F.col("m.col3")).alias("doc_token"), (-F.col("m.col4")).alias("item_token"), "m.n_tokens", "m.n_same")
     names = toks.select("item_id", F.xxhash64("tokens").alias("seq"))
@@ -245,8 +251,11 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows that overlap with an item."""
-    bad = stored(find_overlaps(docs, items).select("doc_id", "text_hash").distinct(), "contaminated")
-    on = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d._text_hash") == F.col("b.text_hash"))
-    keyed = docs.withColumn("_text_hash", row_key()[1])
-    return keyed.alias("d").join(bad.alias("b"), on, "left_anti").select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    """docs without the rows that overlap with an item; which items, and how many, doesn't matter.
+
+    A null text overlaps with nothing; repeated rows go or stay together; empty tables give an empty
+    result or all rows; columns of any name pass through.
+    """
+    bad = stored(verified_overlaps(docs, items)[0].select("doc_id", "text_hash").distinct(), "contaminated")
+    on = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.text_hash") == F.col("b.text_hash"))
+    return unwrapped(wrapped(docs, *row_key()).alias("d").join(bad.alias("b"), on, "left_anti"), docs.columns)

@@ -5,16 +5,17 @@ media. ``resolve`` joins references to a media table by digest, so positions and
 aligned with payloads that are stored once per digest. ``encode``/``decode`` keep bytes losslessly as
 8-bit grey PNG samples.
 
-The query stores each document's padded bytes as a PNG in a media table in the shared folder, builds a
-sequence whose reference is the PNG's digest, parses it, and resolves it against what is decoded from
-the table as read back. Only digests and figures are shuffled, never payloads; figures are reduced to
-one row per digest before the join, so a third of all documents with one text is one hot key on one
-side only, which adaptive skew joins split.
+The query makes a page of each document: its lines as paragraphs, a figure with the document's media
+between them and a second reference after them. The page is parsed, and the references of the sequence
+are joined by digest with what is decoded from the media table as read back. Only digests, places and
+figures are shuffled, never payloads; figures are reduced to one row per digest before the join, so a
+third of all documents with one text is one hot key on one side only, which adaptive skew joins split.
 
 Edge cases: null text is empty and gets 576 bytes of 255; equal texts share a digest and all values;
 repeated rows give repeated results; references without a digest or payload resolve to null payloads;
-broken HTML is read as browsers do (unclosed tags end with their parent); an empty table gives an
-empty result; other columns are ignored.
+of broken HTML nothing is lost: unclosed tags end with their parent, a head ends where an element of the
+body begins, a template without an end is read like any element; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +38,16 @@ WIDTH, PAD, LEVEL = 576, 255, 3
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ITEMS = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
 SKIPPED = {"script", "style", "noscript", "template", "head"}
+#: Elements that leave a head open.
+IN_HEAD = {"title", "meta", "link", "base", "basefont", "bgsound", "html", "head"} | SKIPPED
 BLOCKS = {"p", "div", "article", "section", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "table", "tr", "td", "th", "nav", "header", "footer", "blockquote", "pre", "figure", "body"}
 MEDIA = {"img", "video", "audio", "source", "embed"}
 
 
 class _Sequence(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, skipped: set[str] = SKIPPED) -> None:
         super().__init__(convert_charrefs=True)
+        self.skipped = skipped
         self.items: list[dict] = []
         self.text: list[str] = []
         self.caption: list[str] | None = None
@@ -57,7 +61,9 @@ class _Sequence(HTMLParser):
             self.items.append({"kind": "text", "text": said, "ref": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
+        if self.skip == ["head"] and tag not in IN_HEAD:
+            self.skip = []
+        if tag in self.skipped:
             self.skip.append(tag)
         if self.skip:
             return
@@ -78,7 +84,7 @@ class _Sequence(HTMLParser):
             self.flush()
 
     def handle_startendtag(self, tag, attrs):
-        if tag not in SKIPPED:
+        if tag not in self.skipped:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
@@ -109,6 +115,10 @@ def parse_html(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
+    if "template" in parser.skip or "noscript" in parser.skip:  # without an end: read again as plain elements
+        parser = _Sequence(SKIPPED - {"template", "noscript"})
+        parser.feed(html or "")
+        parser.close()
     if parser.caption is not None:
         parser.handle_endtag("figcaption")
     parser.flush()
@@ -180,14 +190,24 @@ def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
     return refs.join(media, "digest", "left")
 
 
+def page_of(text: str, digest: str, n_bytes: int) -> str:
+    """A document as an interleaved page: half of its lines, its media as a figure, the other lines, the media again."""
+    lines = [f"<p>{escape(x, quote=False)}</p>" for x in text.split("\n") if not x.isspace() and x]
+    half = len(lines) // 2
+    figure = f'<figure><img src="sha256:{digest}"><figcaption>{n_bytes} bytes</figcaption></figure>'
+    return f"<article>{''.join(lines[:half])}{figure}{''.join(lines[half:])}<img src=\"sha256:{digest}\" alt=\"after {len(lines)} lines\"></article>"
+
+
 def _as_media(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, n_bytes, media (the stored form) and the media items of each document's parsed page, with the page's number of items."""
     import pyarrow as pa
 
-    schema = docs.select("doc_id").schema.simpleString()[7:-1] + ",html:string,digest:string,n_bytes:long,media:binary"
+    schema = docs.select("doc_id").schema.simpleString()[7:-1] + f",digest:string,n_bytes:long,media:binary,n_items:int,items:{ITEMS}"
+    struct = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            texts, ids = batch.column(1).cast(pa.binary()), batch.column(0)
+            texts, ids = batch.column(1).cast(pa.large_binary()), batch.column(0)
             at = 0
             while at < len(texts):
                 out, size, start = [], 0, at
@@ -195,12 +215,15 @@ def _as_media(docs: DataFrame) -> DataFrame:
                     data = texts[at].as_py() or b""
                     png = encode(padded(data))
                     digest = hashlib.sha256(png).hexdigest()
-                    page = f'<article><figure><img src="sha256:{digest}"><figcaption>{escape(f"{len(data)} bytes")}</figcaption></figure></article>'
-                    out.append((page, digest, len(data), png))
+                    items = parse_html(page_of(data.decode(), digest, len(data)))
+                    out.append((digest, len(data), png, len(items), [x for x in items if x["kind"] == "media"]))
                     size += len(png) + len(data)
                     at += 1
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, at - start), pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["doc_id", "html", "digest", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(start, at - start), pa.array(cols[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int32()), pa.array(cols[4], struct)],
+                    names=["doc_id", "digest", "n_bytes", "media", "n_items", "items"],
+                )
 
     return docs.select("doc_id", text_or_empty().alias("t")).mapInArrow(run, schema)
 
@@ -227,10 +250,14 @@ def _figures(media: DataFrame) -> DataFrame:
 
 
 def op9_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and of each document's sequence the number of items and the position and caption of each media item."""
     kept = stored(_as_media(table(spark, sf_dir, "documents")), "media")
     # n_bytes belongs to the document: texts that end in byte 255 can't occur in UTF-8, so equal payloads have equal lengths
     figures = _figures(kept.select("digest", "n_bytes", "media"))
     names = [c for c in figures.columns if c != "digest"]
     figures = stored(figures.groupBy("digest").agg(*(F.min(c).alias(c) for c in names)), "media-figures")
-    refs = references(sequences(kept.select("doc_id", "html"), "doc_id"), "doc_id")
-    return resolve(refs, figures).select("doc_id", *names, "position", "caption")
+    # a document's references meet again; rows that repeat are counted, so that each gets its own result
+    refs = references(kept.select("doc_id", "n_items", "items"), "doc_id", "n_items")
+    own = refs.groupBy("doc_id", "digest", "n_items").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.struct("position", "caption"))).alias("places"))
+    own = own.withColumn("copy", F.explode(F.sequence(F.lit(1), F.expr("n div size(places)"))))
+    return resolve(own, figures).select("doc_id", *names, "n_items", F.col("places.position").alias("positions"), F.col("places.caption").alias("captions"))

@@ -10,9 +10,10 @@ Main path: DataFrame functions only. The cumulative tokens of a leaf are taken i
 buckets, then rows of the one bucket where the budget ends), so a leaf with a third of all rows is
 spread over many tasks; at most ``MAX_BUCKETS`` bucket sums of one leaf meet in a task.
 
-Edge cases: null lang or source form leaves of their own (``?``); null text has no tokens; documents
+Edge cases: null lang or source form leaves of their own, apart from any text; null text has no tokens; documents
 without tokens are taken with a whole epoch or where the prefix has room; repeated rows count each;
-an empty table gives an empty result; weights missing from the tables are ``other``.
+an empty table gives an empty result; weights missing from the tables are ``other``; columns of any name
+pass through ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lawloom.llm.common import WORD_RE, row_key, stored, table
+from lawloom.llm.common import WORD_RE, row_key, stored, table, unwrapped, wrapped
 
 #: Target weights (relative, whole numbers) by level; names that aren't listed get ``other``.
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1, "other": 1}
 LANGUAGE_WEIGHTS = {"en": 6, "de": 2, "fr": 2, "es": 1, "other": 1}
 SOURCE_WEIGHTS = {"other": 1}
 BUDGET_PERCENT, MAX_EPOCHS, SEED = 60, 2, 17
-ROWS_PER_BUCKET, MAX_BUCKETS = 8192, 65536
+ROWS_PER_BUCKET, MAX_BUCKETS = 512, 65536
 
 
 def domain_of(source: Column) -> Column:
@@ -36,11 +37,20 @@ def domain_of(source: Column) -> Column:
     return F.when(digits == "", F.lit("other")).otherwise(F.concat(F.lit("d"), (F.when(digits != "", digits).cast("int") % 4).cast("string")))
 
 
-def weight(name: Column, weights: dict[str, int]) -> Column:
+def node(name: Column) -> Column:
+    """Key of a leaf's language or source, in which a missing name differs from every text."""
+    return F.coalesce(F.concat(F.lit("="), name), F.lit("?"))
+
+
+def name_of(key: Column) -> Column:
+    return F.when(key != "?", F.substr(key, F.lit(2)))
+
+
+def weight(name: Column, weights: dict[str, int], prefix: str = "") -> Column:
     out = F.when(F.lit(False), F.lit(0))
     for k, v in weights.items():
         if k != "other":
-            out = out.when(name == k, F.lit(v))
+            out = out.when(name == prefix + k, F.lit(v))
     return out.otherwise(F.lit(weights.get("other", 1))).cast("long")
 
 
@@ -68,9 +78,9 @@ def leaf_budgets(leaves: DataFrame, budget_percent: int, max_epochs: int, weight
     total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * budget_percent / 100).cast("long").alias("parent_budget"))
     domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("w", weight(F.col("domain"), weights[0]))
     domains = fill(domains.crossJoin(F.broadcast(total)), [], "domain").select("domain", F.col("budget").alias("parent_budget"))
-    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("w", weight(F.col("lang"), weights[1]))
+    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("w", weight(F.col("lang"), weights[1], "="))
     langs = fill(langs.join(domains, "domain"), ["domain"], "lang").select("domain", "lang", F.col("budget").alias("parent_budget"))
-    sources = leaves.withColumn("w", weight(F.col("source"), weights[2])).join(langs, ["domain", "lang"])
+    sources = leaves.withColumn("w", weight(F.col("source"), weights[2], "=")).join(langs, ["domain", "lang"])
     return fill(sources, ["domain", "lang"], "source").drop("cap")
 
 
@@ -80,7 +90,7 @@ def mix(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int =
     domain = domain_of(F.col("source")) if domain is None else domain
     slim = stored(
         docs.select(
-            *row_key(), domain.alias("domain"), F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("source", F.lit("?")).alias("source"),
+            *row_key(), domain.alias("domain"), node(F.col("lang")).alias("lang"), node(F.col("source")).alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("tokens"),
         ),
         "mix-rows",
@@ -104,29 +114,25 @@ def mix(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int =
     within = Window.partitionBy(*keys, "_b").orderBy("_h", F.col("doc_id").asc_nulls_first(), "tokens", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     edge = ordered.where("_before <= rest and _before + _sum > rest").withColumn("_cum", F.col("_before") + F.sum("tokens").over(within)).where("_cum <= rest")
     cols = ["doc_id", "text_hash", *keys, "tokens", "epoch"]
-    return whole.select(*cols).unionByName(inside.select(*cols)).unionByName(edge.select(*cols))
+    return whole.select(*cols).unionByName(inside.select(*cols)).unionByName(edge.select(*cols)).withColumns({"lang": name_of(F.col("lang")), "source": name_of(F.col("source"))})
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The selected rows with all columns of docs, one for each epoch that takes them."""
-    picked = mix(docs, **options).groupBy("doc_id", "text_hash", "lang", "source").agg(F.collect_set("epoch").alias("_epochs"))
-    keyed = docs.withColumn("_text_hash", row_key()[1])
-    on = (
-        F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
-        & (F.col("d._text_hash") == F.col("p.text_hash"))
-        & (F.coalesce("d.lang", F.lit("?")) == F.col("p.lang"))
-        & (F.coalesce("d.source", F.lit("?")) == F.col("p.source"))
-    )
-    out = keyed.alias("d").join(picked.alias("p"), on).withColumn("_e", F.explode("p._epochs"))
-    return out.select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    picked = mix(docs, **options).groupBy("doc_id", "text_hash", "lang", "source").agg(F.collect_set("epoch").alias("epochs"))
+    on = F.col("d.text_hash") == F.col("p.text_hash")
+    for c in ("doc_id", "lang", "source"):
+        on = on & F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}"))
+    out = wrapped(docs, *row_key(), F.col("lang"), F.col("source")).alias("d").join(picked.alias("p"), on)
+    return unwrapped(out.select("d.row", F.explode("p.epochs")), docs.columns)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
 
 
-def _case(column: str, weights: dict[str, int]) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items() if k != "other") + f" ELSE {weights.get('other', 1)} END" if len(weights) > 1 else str(weights.get("other", 1))
+def _case(column: str, weights: dict[str, int], prefix: str = "") -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{prefix}{k}' THEN {v}" for k, v in weights.items() if k != "other") + f" ELSE {weights.get('other', 1)} END" if len(weights) > 1 else str(weights.get("other", 1))
 
 
 def _fill(src: str, parent: str, name: str) -> str:
@@ -138,18 +144,18 @@ def _fill(src: str, parent: str, name: str) -> str:
 
 SQL = rf"""
 WITH d AS (SELECT doc_id, CASE WHEN dg = '' THEN 'other' ELSE 'd' || CAST(CAST(dg AS INT) % 4 AS VARCHAR) END AS domain, lang, source, tokens FROM (
-  SELECT doc_id, regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})', 1) AS dg, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source,
+  SELECT doc_id, regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})', 1) AS dg, coalesce('=' || lang, '?') AS lang, coalesce('=' || source, '?') AS source,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS tokens FROM documents)),
 leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST({MAX_EPOCHS} * sum(tokens) AS BIGINT) AS cap FROM d GROUP BY ALL),
 dom AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, {_case("domain", DOMAIN_WEIGHTS)} AS w, (SELECT CAST(floor(sum(tokens) * {BUDGET_PERCENT} / 100) AS BIGINT) FROM leaves) AS parent_budget FROM leaves GROUP BY domain),
 domf AS (SELECT domain, budget FROM {_fill("dom", "", "domain")}),
-lng AS (SELECT l.domain, l.lang, CAST(sum(cap) AS BIGINT) AS cap, {_case("l.lang", LANGUAGE_WEIGHTS)} AS w, any_value(budget) AS parent_budget FROM leaves l JOIN domf USING (domain) GROUP BY l.domain, l.lang),
+lng AS (SELECT l.domain, l.lang, CAST(sum(cap) AS BIGINT) AS cap, {_case("l.lang", LANGUAGE_WEIGHTS, "=")} AS w, any_value(budget) AS parent_budget FROM leaves l JOIN domf USING (domain) GROUP BY l.domain, l.lang),
 lngf AS (SELECT domain, lang, budget FROM {_fill("lng", "domain", "lang")}),
-src AS (SELECT leaves.*, {_case("source", SOURCE_WEIGHTS)} AS w, budget AS parent_budget FROM leaves JOIN lngf USING (domain, lang)),
+src AS (SELECT leaves.*, {_case("source", SOURCE_WEIGHTS, "=")} AS w, budget AS parent_budget FROM leaves JOIN lngf USING (domain, lang)),
 srcf AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM {_fill("src", "domain, lang", "source")}),
 r AS (SELECT d.*, whole, rest FROM d JOIN srcf USING (domain, lang, source)),
 w AS (SELECT doc_id, domain, lang, source, tokens, unnest(range(0, whole)) AS epoch FROM r),
 e AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || CAST(whole AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), doc_id, tokens ROWS UNBOUNDED PRECEDING) AS cum FROM r WHERE rest > 0)
-SELECT doc_id, domain, lang, source, tokens, CAST(epoch AS INT) AS epoch FROM (SELECT doc_id, domain, lang, source, tokens, epoch FROM w
+SELECT doc_id, domain, CASE WHEN lang <> '?' THEN substr(lang, 2) END AS lang, CASE WHEN source <> '?' THEN substr(source, 2) END AS source, tokens, CAST(epoch AS INT) AS epoch FROM (SELECT doc_id, domain, lang, source, tokens, epoch FROM w
   UNION ALL SELECT doc_id, domain, lang, source, tokens, whole FROM e WHERE cum <= rest)
 """

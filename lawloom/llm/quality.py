@@ -188,7 +188,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
     own = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_y in (0, 1)").where(~is_held_out(F.col("_id")))
     own = own.orderBy(F.xxhash64("_id"), "_id", "_y").limit(most)  # a bounded sample: at most 16 bytes a row are broadcast
     stats = docs.select(F.col("doc_id").alias("_d"), text_or_empty().alias("_t")).join(F.broadcast(own), F.col("_d") == F.col("_id"))
-    rows = stats.select("_id", "_y", *(c.alias(k) for k, c in statistics(F.col("_t")).items())).limit(2 * most).collect()
+    stats = stats.select("_id", "_y", F.xxhash64("_t").alias("_h"), *(c.alias(k) for k, c in statistics(F.col("_t")).items()))
+    rows = stats.groupBy("_id", "_y").agg(F.min(F.struct("_h", *NAMES)).alias("m")).select("_id", "_y", *(F.col(f"m.{k}") for k in NAMES)).collect()  # one row for each label, whatever repeats
     rows.sort(key=lambda r: tuple(r))
     return np.array([r[2:] for r in rows], float).reshape(len(rows), len(NAMES)), np.array([r[1] for r in rows], float)
 

@@ -65,7 +65,7 @@ def number_rows(rows: DataFrame, order: tuple[str, ...], rows_per_bucket: int =
     inner = Window.partitionBy("_bucket").orderBy(*(F.col(c).asc_nulls_first() for c in order))
     return (
         rows.withColumn("_i", F.row_number().over(inner) - 1)
-        .join(F.broadcast(counts), "_bucket")
+        .join(counts, "_bucket")  # rows lie by bucket already
         .withColumn("row_number", F.col("_before") + F.col("_i"))
         .withColumn("n_rows", F.lit(n).cast("long"))
         .drop("_bucket", "_i", "_before")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawloom.llm.common import U64, mix, stored, table, text_or_empty
+from lawloom.llm.common import U64, mix, stored, table, text_or_empty, unwrapped, wrapped
 
 RADIUS, SHINGLE, SEED, SHARD = 3, 3, 42, 2048
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -52,7 +52,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    hashes = shingle_hashes(text, width)
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; repeats count."""
     n = len(hashes)
     if not n:
         return 0
@@ -238,11 +242,11 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
         level += 1
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
-    """(node, root) of every node of the edges (a, b): alternating large-star and small-star until nothing changes."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b): alternating large-star and small-star until nothing changes, after at most some log² rounds."""
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     state = None
-    for _ in range(most):
+    while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-min")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
@@ -255,8 +259,6 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         if tuple(now) == state:
             break
         state = tuple(now)
-    else:
-        raise RuntimeError(f"components: no fixed point in {most} rounds")
     # every node but the roots is now one step from its root
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
@@ -366,16 +368,22 @@ def similar_forest(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tu
 
 
 def _view_rows(texts: DataFrame, views: int) -> DataFrame:
-    """texts: tk, t. (tk, size, keys): the number of distinct shingles and a key for each view."""
+    """texts: tk, t. (tk, size, keys, fp): the number of distinct shingles, a key for each view, the SimHash fingerprint."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            sets = [shingle_set(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
-            keys = [view_keys(x, views).view(np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["tk", "size", "keys"])
+            sizes, keys, fps = [], [], []
+            for t in batch.column(1).cast(pa.binary()):
+                hashes = shingle_hashes(t.as_py() or b"", WIDTH)
+                own = np.unique(hashes)
+                sizes.append(len(own))
+                keys.append(view_keys(own, views).view(np.int64))
+                fps.append(fingerprint_of(hashes))
+            signed = np.array(fps, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signed)], names=["tk", "size", "keys", "fp"])
 
-    return texts.select("tk", "t").mapInArrow(run, "tk binary, size long, keys array<long>")
+    return texts.select("tk", "t").mapInArrow(run, "tk binary, size long, keys array<long>, fp long")
 
 
 def _set_rows(texts: DataFrame) -> DataFrame:
@@ -420,16 +428,21 @@ def _group_forests(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition(*GROUP_KEY).sortWithinPartitions(*GROUP_KEY).mapInArrow(run, "a binary, b binary")
 
 
-def similar_texts(texts: DataFrame, views: int = VIEWS, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def similar_texts(texts: DataFrame, views: int = VIEWS, least: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between texts (tk, t) that are ``least`` similar in five-word shingles; ``many`` marks keys that may repeat.
 
-    Texts with one key of a view are a group. Every pair of a group is looked at on the whole shingle sets
+    Candidates come from two searches. SimHash: texts whose fingerprints the BK-trees link within the
+    radius, with all that follows from the links, are a group. Three bits of one fingerprint miss most
+    pairs of 0.8, so min-wise views search besides: texts with one key of a view are a group, too. Every pair of a group is looked at on the whole shingle sets
     unless links join it already, so the components are those of all similar pairs of the group. Views
     with the same members are looked at once; a group of over ``block`` shingles is dealt out by pairs of
     its parts. Shingle sets are made only for texts that share a key.
     """
     rows = stored(_view_rows(texts, views).dropDuplicates(["tk"]), "view-rows")
     flat = rows.select("tk", "size", F.posexplode("keys").alias("view", "key"))
+    roots = components(links(rows.select(F.lit(0).alias("view"), "fp").distinct(), radius))
+    near = rows.join(roots, rows.fp == roots.node, "left").select("tk", "size", F.lit(-1).alias("view"), F.coalesce("root", "fp").alias("key"))
+    flat = flat.unionByName(stored(near, "simhash-groups"))
     same = [F.count("*").alias("n"), F.sum(F.col("size") + 1).alias("total"), F.expr("bit_xor(xxhash64(tk))").alias("x"), F.expr("bit_xor(xxhash64(tk, 1))").alias("y")]
     groups = flat.groupBy("view", "key").agg(*same).where("n > 1")
     groups = groups.groupBy("n", "total", "x", "y").agg(F.min(F.struct("view", "key")).alias("g")).select("g.view", "g.key", F.ceil(F.col("total") / block).cast("int").alias("parts"))
@@ -446,24 +459,26 @@ def similar_texts(texts: DataFrame, views: int = VIEWS, least: float = SIMILARIT
 def one_of_each(docs: DataFrame, views: int = VIEWS, least: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class of equal or similar texts: the smallest doc_id (null last), then the least text key.
 
+    Null texts are empty ones and a class of their own; repeated rows leave one; a null doc_id stays only
+    where its class has no other; an empty table gives an empty result; columns of any name pass through.
     Texts travel once, to meet the list of rows that stay.
     """
-    key = F.unhex(F.md5(text_or_empty().cast("binary")))
-    rows = stored(docs.select(F.col("doc_id"), key.alias("tk")), "text-keys")
+    key = F.unhex(F.md5(text_or_empty().cast("binary"))).alias("tk")
+    rows = stored(docs.select(F.col("doc_id"), key), "text-keys")
     own = rows.groupBy("tk").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    texts = docs.select(key.alias("tk"), text_or_empty().alias("t"), F.col("doc_id").alias("_d"))
+    texts = docs.select(key, text_or_empty().alias("t"), F.col("doc_id").alias("own"))
     # of equal texts only the first goes on
     firsts = stored(own, "text-firsts")
-    unique = texts.join(firsts.where("n > 1").select("tk", "first", "n"), "tk", "left").where(F.col("n").isNull() | F.col("_d").eqNullSafe(F.col("first"))).select("tk", F.col("n").isNotNull().alias("many"), "t")
+    unique = texts.join(firsts.where("n > 1").select("tk", "first", "n"), "tk", "left").where(F.col("n").isNull() | F.col("own").eqNullSafe(F.col("first"))).select("tk", F.col("n").isNotNull().alias("many"), "t")
     found = stored(similar_texts(unique, views, least), "similar-texts")
     roots = components(found)
     place = F.struct(F.col("first").isNull().alias("a"), F.col("first").alias("doc_id"), F.col("tk").alias("tk"))
     tops = firsts.join(roots, firsts.tk == roots.node, "left").groupBy(F.coalesce("root", "tk").alias("root")).agg(F.min(place).alias("p"))
     stay = tops.select(F.col("p.doc_id").alias("first"), F.col("p.tk").alias("tk"))
-    counts = rows.groupBy("doc_id", "tk").agg(F.count("*").alias("_n"))
+    counts = rows.groupBy("doc_id", "tk").agg(F.count("*").alias("n"))
     on = F.col("f.first").eqNullSafe(F.col("c.doc_id")) & (F.col("f.tk") == F.col("c.tk"))
-    stay = stored(stay.alias("f").join(counts.alias("c"), on).select("c.doc_id", "c.tk", "c._n"), "stay")
-    on = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._tk") == F.col("s.tk"))
-    kept = docs.withColumn("_tk", key).alias("d").join(stay.alias("s"), on).select("d.*", "s._n")
-    single, repeated = kept.where("_n = 1"), kept.where("_n > 1").dropDuplicates(["doc_id", "_tk"])
-    return single.unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
+    stay = stored(stay.alias("f").join(counts.alias("c"), on).select("c.doc_id", "c.tk", "c.n"), "stay")
+    on = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.tk") == F.col("s.tk"))
+    kept = wrapped(docs, F.col("doc_id"), key).alias("d").join(stay.alias("s"), on).select("d.row", "d.doc_id", "d.tk", "s.n")
+    single, repeated = kept.where("n = 1"), kept.where("n > 1").dropDuplicates(["doc_id", "tk"])
+    return unwrapped(single.unionByName(repeated), docs.columns)

@@ -2,12 +2,17 @@
 
 Every rule is a regular expression with literal tokens that any matching URL must hold as whole
 tokens. A rule is filed under the literal token that the fewest URLs hold; a URL's tokens fetch
-their candidate rules and only those run their expressions. Everything is one projection of native
-columns: no shuffle, no join, no Python, so a hot host or a hot URL costs no more than any other.
+their candidate rules and only those run their expressions. Native columns only, no Python.
 
-Edge cases: a null URL or one without ``://`` has empty host and path and gets the default verdict;
-repeated rows give repeated results; an empty table gives an empty result; further columns are
-ignored unless listed in ``keep``. The rule list is driver data of at most ``MAX_RULES`` entries.
+Lists of up to ``IN_PLAN`` rules are literals of one projection: no shuffle, no join, so a hot host or
+a hot URL costs no more than any other. Longer lists of any length are a table: the distinct URLs'
+tokens are joined with the index (broadcast only where adaptive execution measures it small), the
+candidates run their expressions, the best of each URL goes back to its rows.
+
+Edge cases: a null URL or one without ``://`` has empty host and path and gets the default verdict,
+unless a rule fits the empty subject; repeated rows give repeated results; an empty table gives an
+empty result; further columns, whatever their names, are ignored unless listed in ``keep``; of rules
+with one text the first listed counts.
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawloom.llm.common import table
+from lawloom.llm.common import stored, table
 
-MAX_RULES = 2000
+#: Rules that fit into one projection.
+IN_PLAN = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = r"[0-9A-Za-z]+"
 
@@ -49,9 +55,15 @@ def host_path_rule(text: str, verdict: str) -> Rule:
     return Rule(text, verdict, rf"^(?:[^\x00]*\.)?{re.escape(host)}\x00{re.escape(path)}", tokens)
 
 
-def token_rule(name: str, verdict: str, token: str) -> Rule:
-    """A pattern of the method's own: the path holds the token between non-alphanumerics."""
-    return Rule(name, verdict, rf"\x00(?:.*[^0-9A-Za-z])?{token}(?:[^0-9A-Za-z]|$)", (f"p:{token}",), named=False)
+def token_rule(name: str, verdict: str, token: str, side: str = "p") -> Rule:
+    """A pattern of the method's own: the path (p) or the host (h) holds the token between non-alphanumerics."""
+    inside = rf"\x00(?:.*[^0-9A-Za-z])?{token}(?:[^0-9A-Za-z]|$)" if side == "p" else rf"^(?:[^\x00]*[^0-9A-Za-z\x00])?{token}(?:[^0-9A-Za-z]|$)"
+    return Rule(name, verdict, inside, (f"{side}:{token}",), named=False)
+
+
+def ending_rule(ending: str) -> Rule:
+    """The path ends in a file of this kind."""
+    return Rule(f"file {ending}", "block", rf"\.{ending}$", (f"p:{ending}",), named=False)
 
 
 #: The listed rules; the longest that fits wins.
@@ -62,8 +74,20 @@ RULES = (
     host_path_rule("com/fr/", "allow"),
     host_path_rule("com/de/", "block"),
 )
-#: What the method judges where no listed rule fits.
-OWN_RULES = tuple(token_rule(f"token {t}", "block", t) for t in ("casino", "porn", "torrent", "viagra", "warez", "xxx"))
+#: Words that mark pages of no use for training: adult, gambling, pharmacy spam, piracy.
+WORDS = (
+    "casino", "porn", "torrent", "viagra", "warez", "xxx", "porno", "hentai", "camgirls", "escorts", "poker", "slots", "roulette", "sportsbook", "betting", "bingo", "jackpot", "cialis", "levitra", "xanax", "tramadol",
+    "payday", "keygen", "cracked", "nulled", "phishing", "replica", "pharmacy",
+)
+#: Files that hold no text.
+ENDINGS = ("exe", "apk", "msi", "dmg", "iso", "rar", "zip", "mp3", "mp4", "avi")
+#: What the method judges where no listed rule fits: words in path or host, files, numeric hosts, endless paths. The last two have no literal and run everywhere.
+OWN_RULES = (
+    *(token_rule(f"token {t}", "block", t, side) for side in "ph" for t in WORDS),
+    *map(ending_rule, ENDINGS),
+    Rule("numeric host", "block", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?\x00", (), named=False),
+    Rule("endless path", "block", r"\x00(?:[^/]*/){16}", (), named=False),
+)
 DEFAULT = "allow"
 
 
@@ -105,8 +129,8 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, own: tuple[Ru
     first listed.
     """
     every = (*rules, *own)
-    if len(every) > MAX_RULES:
-        raise ValueError(f"{len(every)} rules; at most {MAX_RULES} fit into one projection")
+    if len(every) > IN_PLAN:
+        return _filter_by_table(pages, every, default, url, keep)
     host, path = split_url(F.col(url))
     parts = pages.select(*keep, host.alias("host"), path.alias("path")).withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
     index, always = build_index(every, token_counts(parts, sorted({t for r in every for t in r.tokens})))
@@ -136,11 +160,35 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, own: tuple[Ru
     )
 
 
+def _filter_by_table(pages: DataFrame, every: tuple[Rule, ...], default: str, url: str, keep: tuple[str, ...]) -> DataFrame:
+    """The same with the rules as a table, for lists of any length."""
+    spark = pages.sparkSession
+    host, path = split_url(F.col("url"))
+    urls = pages.select(F.col(url).alias("url")).distinct().select("url", host.alias("host"), path.alias("path")).withColumn("token", F.explode(F.array_append(url_tokens(F.col("host"), F.col("path")), "")))
+    urls = stored(urls, "url-tokens")
+    rows = spark.createDataFrame([(i, r.text, r.verdict, r.pattern, list(r.tokens), int(r.named)) for i, r in enumerate(every)], "no long, text string, verdict string, pattern string, tokens array<string>, named int")
+    # the rarest literal of each rule; a rule without one is filed under the empty token, which every URL has
+    wanted = rows.select("no", F.explode_outer("tokens").alias("token"))
+    counts = urls.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "token", "left").groupBy("no").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("token", F.lit("")).alias("token"))).alias("m"))
+    index = stored(rows.drop("tokens").join(rarest, "no").select("no", "text", "verdict", "pattern", "named", F.col("m.token").alias("token")), "url-index")
+    candidates = urls.join(index, "token")
+    fits = F.rlike(F.concat("host", F.lit("\0"), "path"), F.concat(F.lit("(?s)"), F.col("pattern")))
+    rank = F.struct("named", F.length("text").alias("len"), (-F.col("no")).alias("k"), "text", "verdict")
+    best = candidates.groupBy("url").agg(F.max(F.when(fits, rank)).alias("best"), F.count("*").cast("int").alias("n_candidates"))
+    host, path = split_url(F.col(f"p.{url}"))
+    out = pages.alias("p").join(best.alias("b"), F.col(f"p.{url}").eqNullSafe(F.col("b.url")), "left")
+    return out.select(
+        *(F.col(f"p.{k}") for k in keep), host.alias("host"), path.alias("path"), F.when(F.col("b.best.named") == 1, F.col("b.best.text")).alias("rule"),
+        F.coalesce("b.best.verdict", F.lit(default)).alias("verdict"), F.coalesce("b.n_candidates", F.lit(0)).alias("n_candidates"),
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
 
 
-SQL = r"""
+SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
@@ -151,5 +199,6 @@ j AS (SELECT *, CASE
   WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(path, '(^|[^0-9A-Za-z])(casino|porn|torrent|viagra|warez|xxx)([^0-9A-Za-z]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM j
+  WHEN regexp_matches(path, '(^|[^0-9A-Za-z])({"|".join(WORDS)})([^0-9A-Za-z]|$)') OR regexp_matches(host, '(^|[^0-9A-Za-z])({"|".join(WORDS)})([^0-9A-Za-z]|$)') OR regexp_matches(path, '\.({"|".join(ENDINGS)})$')
+    OR regexp_matches(host, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}(:[0-9]+)?$') OR regexp_matches(path, '^([^/]*/){{16}}') THEN 'block' ELSE 'allow' END AS verdict FROM j
 """

@@ -152,6 +152,26 @@ def test_every_mask_pair_meets_all_substitutions():
             assert any(set(m) <= whole for m in decontamination.masks(span))
 
 
+CLASHES = ["_n", "_tk", "_e", "_text_hash", "_text", "row", "tk", "n", "epochs", "text_hash", "size", "view", "key", "fp", "_d", "_id", "_t", "_h", "node", "root", "tokens", "seq", "a.b"]
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, rows):
+    own = docs.drop("d64", "t", "bucket").select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASHES)))
+    item = spark.createDataFrame([(0, " ".join((rows[4][1] or "").split()[3:30]), 1)], "item_id long, text string, tokens int")
+    labels = spark.createDataFrame([(i, int(i % 9 > 0), 0, "x") for i in range(60)], "doc_id long, quality int, toxic int, text string")
+    stages = [simhash.one_of_each, lambda d: decontamination.drop_contaminated(d, item), mixing.mix_documents, lambda d: quality.reject_low_quality(d, labels)]
+    for stage in stages:
+        out = stage(own)
+        assert out.columns == own.columns
+        got = out.collect()
+        assert got and all(r[c] == i for r in got for i, c in enumerate(CLASHES))
+        known = Counter((r[0], r[1]) for r in rows)
+        assert all((r["doc_id"], r["text"]) in known for r in got)
+        empty = stage(own.where("false"))
+        assert empty.columns == own.columns and empty.count() == 0
+    assert sharding.shard_documents(own).count() == len(rows) and sharding.shard_documents(own.where("false")).count() == 0
+
+
 def test_empty_decontamination(docs, none, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_overlaps(docs, bench).count() == 0
@@ -161,6 +181,7 @@ def test_empty_decontamination(docs, none, spark):
 URLS = [
     "http://a.example.org/es/1", "https://example.org/en/123", "http://example.org", "http://EXAMPLE.org/en/2?x=1", "http://x.com/fr/#f", "http://com/de/", "http://xcom/de/", "ftp://my-org/", "http://org/de/", None,
     "no scheme", "", "http://x.net/casino/1", "http://x.net/casinos/1", "://org/", "http://h.org:80/es/", "http://example.org/es", "http://u@example.org/en/1", "http://a://org/x",
+    "http://casino.x.net/", "http://my-poker.net/a", "http://pokers.net/a", "http://10.0.0.1:80/a", "http://10.0.0.1.net/a", "http://x.net/a/setup.exe", "http://x.net/setup.exe/a", "http://x.net/setup.exe?b", "http://x.net" + "/a" * 15, "http://x.net" + "/a" * 16,
 ]
 
 
@@ -176,8 +197,9 @@ def plain_verdict(url):
         h, _, p = text.partition("/")
         if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(text) > len(best[0])):
             best = (text, verdict)
-    own = "block" if re.search(r"(^|[^0-9A-Za-z])(casino|porn|torrent|viagra|warez|xxx)([^0-9A-Za-z]|$)", path) else "allow"
-    return host, path, *(best or (None, own))
+    bad = any(t in url_filter.WORDS for part in (host, path) for t in re.findall("[0-9A-Za-z]+", part)) or any(path.endswith(f".{e}") for e in url_filter.ENDINGS)
+    bad = bad or re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}(:\d+)?", host) or path.count("/") >= 16
+    return host, path, *(best or (None, "block" if bad else "allow"))
 
 
 def test_url_filter_equals_plain_rules(spark):
@@ -189,6 +211,19 @@ def test_url_filter_equals_plain_rules(spark):
     assert "Python" not in plan and "Join" not in plan
 
 
+def test_a_hundred_thousand_rules_give_the_same_verdicts(spark):
+    pages = spark.createDataFrame([(i, u, i) for i, u in enumerate(URLS + URLS[:3])], "page_id long, url string, token long")
+    many = url_filter.RULES + tuple(url_filter.host_path_rule(f"host{i}.net/p{i % 97}/", "block") for i in range(100_000))
+    more = pages.unionByName(spark.createDataFrame([(900 + i, f"http://a.host{i * 9973}.net/p{(i * 9973 + i % 2) % 97}/x", 0) for i in range(10)], pages.schema))
+    out = url_filter.filter_urls(more, many)
+    got = {r["page_id"]: r for r in out.collect()}
+    assert [tuple(got[i][k] for k in ("host", "path", "rule", "verdict")) for i in range(len(URLS) + 3)] == [plain_verdict(u) for u in URLS + URLS[:3]]
+    for i in range(10):
+        assert (got[900 + i]["rule"], got[900 + i]["verdict"]) == ((f"host{i * 9973}.net/p{i * 9973 % 97}/", "block") if i % 2 == 0 else (None, "allow"))
+    assert max(r["n_candidates"] for r in got.values()) < 10 and "Python" not in out._jdf.queryExecution().toString()
+    assert url_filter.filter_urls(pages.where("false"), many).count() == 0
+
+
 def test_feistel_is_a_permutation_and_computable():
     for n in (1, 2, 3, 40, 999, 4097):
         p = sharding.permute(np.arange(n, dtype=np.uint64), n)
@@ -228,15 +263,21 @@ def fill(budget, children):
     return out
 
 
+def key(name):
+    return "?" if name is None else "=" + name
+
+
 def test_mixing_equals_plain_budgets(docs, rows, none):
+    docs = docs.unionByName(docs.limit(1).selectExpr("900L as doc_id", "'one two three' as text", "'?' as lang", "'?' as source", "n_chars", "d64", "t", "bucket"))
+    rows = [*rows, (900, "one two three", "?", "?", 0)]
     leaves, members = Counter(), defaultdict(list)
     for d, t, lang, src, _ in rows:
         digits = re.search(r"\d+", src or "")
-        leaf = (f"d{int(digits[0]) % 4}" if digits else "other", lang or "?", src or "?")
+        leaf = (f"d{int(digits[0]) % 4}" if digits else "other", key(lang), key(src))
         n = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
         leaves[leaf] += n
         members[leaf].append((d, n))
-    weight = lambda name, table: table.get(name, table["other"])
+    weight = lambda name, table: table.get(name.removeprefix("="), table["other"])
     total = sum(leaves.values())
     cap = lambda pre: sum(2 * n for k, n in leaves.items() if k[: len(pre)] == pre)
     dom = fill(total * 60 // 100, {k: (weight(k, mixing.DOMAIN_WEIGHTS), cap((k,))) for k in {x[0] for x in leaves}})
@@ -259,22 +300,46 @@ def test_mixing_equals_plain_budgets(docs, rows, none):
                 cum += n
                 if cum <= rest:
                     want[d, leaf, whole] += 1
-    got = Counter((r["doc_id"], (r["domain"], r["lang"], r["source"]), r["epoch"]) for r in mixing.mix(docs, rows_per_bucket=4).collect())
+    got = Counter((r["doc_id"], (r["domain"], key(r["lang"]), key(r["source"])), r["epoch"]) for r in mixing.mix(docs, rows_per_bucket=4).collect())
     assert got == want
-    assert Counter((r["doc_id"], (r["domain"], r["lang"], r["source"]), r["epoch"]) for r in mixing.mix(docs).collect()) == want
+    assert Counter((r["doc_id"], (r["domain"], key(r["lang"]), key(r["source"])), r["epoch"]) for r in mixing.mix(docs).collect()) == want
     out = mixing.mix_documents(docs)
     assert out.columns == docs.columns
     assert mixing.mix(none).count() == 0 and mixing.mix_documents(none).count() == 0
 
 
 def test_quality_separates_held_out_rows(spark, none):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    r = quality.op7_quality_classifier(spark, sf).join(labels, "doc_id").where("held_out").collect()
-    assert sum(x["predicted"] == x["quality"] for x in r) / len(r) > 0.95
+    r = quality.op7_quality_classifier(spark, sf).join(labels, "doc_id").where("held_out").select("score", "predicted", "quality").collect()
+    good, bad = [x["score"] for x in r if x["quality"] == 1], [x["score"] for x in r if x["quality"] == 0]
+    auc = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+    base = max(len(good), len(bad)) / len(r)
+    right = sum(x["predicted"] == x["quality"] for x in r) / len(r)
+    assert min(len(good), len(bad)) > 50 and auc > 0.95 and right > (1 + base) / 2
+    small = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     model = quality.train(docs, labels)
     assert 0 < len(model.rules) < 300 and all(abs(x.weight) > 0 for x in model.rules)
     assert quality.score(none, model, "doc_id").count() == 0
+    # repeated rows, repeated labels' documents and further columns change nothing
+    again = quality.train(docs.unionByName(docs).withColumn("_id", F.lit(1)).withColumn("_t", F.lit("x")).withColumn("quality", F.lit(0)), labels.withColumn("text", F.lit("y")))
+    assert again == model
+
+
+def test_quality_statistics_equal_plain_counts(docs):
+    got = docs.select("text", *(c.alias(k) for k, c in quality.statistics(F.coalesce("text", F.lit(""))).items())).collect()
+    for r in got:
+        t = r["text"] or ""
+        w, lines = re.findall(r"[^\x20\x09-\x0D]+", t), t.split("\n")
+        many = lambda cs: sum(c in cs for c in t)
+        of_words = lambda x: x / len(w) if w else 0.0
+        function = sum(bool(re.match(rf"({'|'.join(quality.FUNCTION_WORDS.split())})([,.]|$)", x)) for x in w)
+        want = [
+            len(t), len(w), of_words(len(t)), sum(c.isupper() for c in t) / len(t) if t else 0.0, of_words(many("#$%&*|+=<>{}[]\\^~_@")), of_words(many("!?")), of_words(many(".,;:")),
+            many("0123456789") / len(t) if t else 0.0, of_words(len(set(w))), len(t) / len(lines), len(set(lines)) / len(lines), of_words(function),
+        ]
+        assert np.allclose([r[k] for k in quality.NAMES], want), t[:60]
 
 
 def test_quality_columns_equal_the_model(docs, rows):
@@ -303,13 +368,32 @@ def test_media_round_trip(n):
 
 
 def test_media_query(spark, tmp_path, rows):
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "lang as digest", "n_chars as n", "lang as items", "lang as media", "lang as places")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = media.op9_media_sequences(spark, str(tmp_path)).collect()
     want = Counter()
     for d, t, *_ in rows:
-        p = media.padded((t or "").encode())
-        want[d, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), hashlib.sha256(media.encode(p)).hexdigest()] += 1
-    assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_sha256"]) for r in got) == want
+        t = t or ""
+        p, png = media.padded(t.encode()), media.encode(media.padded(t.encode()))
+        x = np.frombuffer(p, np.uint8).astype(float)
+        hist = Counter(v // 16 for v in p)
+        feature = f"576x{len(p) // 576};mean={sum(p) / len(p):.6f};sd={math.sqrt(((x - x.mean()) ** 2).mean()):.6f};hist={'.'.join(str(hist[i]) for i in range(16))}"
+        lines = sum(bool(line.strip()) for line in t.split("\n"))
+        want[d, len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(png), hashlib.sha256(png).hexdigest(), feature, lines + 2, (lines // 2, lines + 1), (f"{len(t.encode())} bytes", f"after {lines} lines")] += 1
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_items")
+    assert Counter((*(r[k] for k in names), tuple(r["positions"]), tuple(r["captions"])) for r in got) == want
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert media.op9_media_sequences(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_broken_pages_lose_nothing():
+    seen = lambda page: [i["text"] or i["ref"] for i in media.parse_html(page)]
+    assert seen("<html><head><title>t</title><meta x=y><body><p>a</p><img src=b>") == ["a", "b"]
+    assert seen("<head><style>s</style><p>a") == ["a"]
+    assert seen("<p>a<template><p>b<img src=c>") == ["a", "b", "c"] and seen("<p>a<template><p>b</template>c") == ["ac"]
+    assert seen("<figure><img src=a><figcaption>never closed") == ["a"] and media.parse_html("<figure><img src=a><figcaption>never closed")[0]["caption"] == "never closed"
+    long = "word " * 4_000_000  # 20 MB
+    assert [i["kind"] for i in media.parse_html(media.page_of(long, "0" * 64, len(long)))] == ["media", "text", "media"]
 
 
 def test_html_sequences_keep_order_and_captions(spark):
