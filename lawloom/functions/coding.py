@@ -115,6 +115,85 @@ def description_gain(fitted: DataFrame, indexed: DataFrame, step: str, bank: int
     return out.select("entity", "family", "data_bits", "total_bits", "reference_bits", gain.alias("gain_bits"), (gain > minimum).alias("admitted"))
 
 
+def decimal_text(value: Decimal | str) -> str:
+    """A decimal without exponent or trailing zeros."""
+    text = format(Decimal(value).normalize(), "f")
+    return (text.rstrip("0").rstrip(".") if "." in text else text) or "0"
+
+
+def resolve_step(rows: DataFrame, mode: str, column: str = "target", step: str | None = None, resolution: str | None = None, fraction: str | None = None, fallback: str = "0.5") -> str:
+    """The quantiser's step by policy: fixed, the measurement's resolution, or a share of the largest magnitude (one aggregate reaches the driver)."""
+    given = {"fixed_step_mid_tread": step, "measurement_resolution_mid_tread": resolution, "scale_adaptive_mid_tread": fraction}
+    if mode not in given:
+        raise ValueError(f"unsupported quantization mode: {mode}")
+    if given[mode] is None or Decimal(given[mode]) <= 0:
+        raise ValueError(f"invalid_quantization_step: {mode} needs a positive decimal")
+    if mode != "scale_adaptive_mid_tread":
+        return decimal_text(given[mode])
+    largest = rows.agg(F.max(F.abs(column)).alias("m")).first()["m"]
+    return scale_adaptive_step(largest or 0.0, given[mode], fallback)
+
+
+def lattice_steps(residual_step: str, parameter_step: str | None = None, state_step: str | None = None) -> dict[str, str]:
+    """Steps on which parameters and states are coded: their own, or else the residuals'."""
+    return {"parameter": decimal_text(parameter_step or residual_step), "state": decimal_text(state_step or residual_step)}
+
+
+def literal_bits(value, step: str, kind: str = "scalar") -> int:
+    """Code length of one literal on the driver, by its type: programs, truth values, whole numbers, lattice numbers, text."""
+    zig = lambda z: natural_code_length(2 * z if z >= 0 else -2 * z - 1)
+    text = lambda s: natural_code_length(len(s.encode())) + sum(map(natural_code_length, s.encode()))
+    if kind == "program":
+        return natural_code_length(len(str(value).replace("(", " ").replace(")", " ").split())) + text(str(value))
+    if value is None or isinstance(value, bool):
+        return 1
+    if isinstance(value, int):
+        return zig(value)
+    if isinstance(value, float):
+        return zig(int((Decimal(str(value)) / Decimal(step)).to_integral_value(rounding="ROUND_HALF_UP")))
+    if isinstance(value, str):
+        return text(value)
+    raise ValueError(f"unsupported_literal_code_value: {type(value).__name__}")
+
+
+def map_bits(values: Column, step: str) -> Column:
+    """Codes of a map's numbers on a lattice."""
+    return F.aggregate(F.map_values(values), F.lit(0).cast("long"), lambda a, v: a + signed_bits(quantize_index(v, step)).cast("long"))
+
+
+def codelength_terms(rows: DataFrame, steps: dict[str, str], bank: int = 4) -> DataFrame:
+    """rows: structure_bits, literal_bits, parameters and state (maps), data_bits. Adds the six terms and their sum."""
+    terms = {
+        "l_family": F.lit(natural_code_length(bank)), "l_structure": F.col("structure_bits"), "l_literals": F.col("literal_bits"),
+        "l_params": map_bits(F.col("parameters"), steps["parameter"]), "l_state": map_bits(F.col("state"), steps["state"]), "l_data": F.col("data_bits"),
+    }
+    total = sum((c.cast("long") for c in terms.values()), F.lit(0).cast("long"))
+    return rows.withColumns({k: c.cast("long") for k, c in terms.items()}).withColumn("l_total", total)
+
+
+def row_set_id(rows: DataFrame) -> DataFrame:
+    """One row: a digest of which rows were coded, whatever their order and files: count and wrapping sums of four hashes of each row, hashed."""
+    body = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("entity", "event_time", "available_at", "target")]
+    sha = F.sha2(F.concat_ws("|", *body), 256)
+    lanes = [F.sum(F.conv(F.substring(sha, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return rows.agg(F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), *(F.coalesce(x, F.lit("0")) for x in lanes)), 256)).alias("row_set_id"))
+
+
+#: What must agree before code lengths may be compared, in the order in which a mismatch is reported.
+COMPARISON_FIELDS = (
+    "quantization_mode", "quantization_step", "reference_scope", "reference_family_id", "reference_policy_id", "data_code_family", "support_kind", "horizon_geometry", "coding_row_set_id",
+    "residual_history_construction", "parameter_lattice_step", "state_lattice_step", "runtime_signature",
+)
+
+
+def comparable(keys: DataFrame) -> DataFrame:
+    """One row: whether all comparison keys agree, and else the first field that doesn't. Columns that the table lacks count as equal."""
+    own = [c for c in COMPARISON_FIELDS if c in keys.columns]
+    differs = [F.when(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))) > 1, F.lit(f"{c}_mismatch")) for c in own]
+    reason = F.coalesce(*differs) if differs else F.lit(None).cast("string")
+    return keys.agg(reason.alias("reason_code")).select(F.col("reason_code").isNull().alias("comparable"), "reason_code")
+
+
 def scale_adaptive_step(max_abs: float, fraction: str = "0.01", fallback: str = "0.5") -> str:
     """Quantisation step as a share of the largest magnitude; the fallback where that is zero."""
     if max_abs == 0:

@@ -206,12 +206,89 @@ def simplify(e: Expr, assume: set[str] | None = None) -> tuple[Expr, list[str]]:
     return e, trace
 
 
+def _positions(e: Expr) -> Iterator[tuple[Expr, Callable[[Expr], Expr]]]:
+    """Every part of a tree, with the function that puts another in its place."""
+    yield e, lambda x: x
+    for i, a in enumerate(e[1:], 1):
+        if isinstance(a, tuple) and a and isinstance(a[0], str):
+            for part, back in _positions(a):
+                yield part, lambda x, i=i, back=back: (*e[:i], back(x), *e[i + 1 :])
+
+
+def validate_rewrite(rule: str, before: Expr, after: Expr, assume: set[str] | None = None) -> bool:
+    """Whether the named rule turns one tree into the other at its root, under the assumptions."""
+    if rule == "unit_zero_identity":
+        return before[0] == "add" and len(before) == 3 and any(_is(before[i], 0) and before[3 - i] == after for i in (1, 2)) and "unit_equal" in (assume or set())
+    return _rules(before, assume or set()) == (rule, after)
+
+
+def saturate(e: Expr, assume: set[str] | None = None, most: int = 2000) -> tuple[Expr, list[tuple[str, Expr]], bool]:
+    """The cheapest tree that rewrites and commuted sums and products reach, the steps to it, and whether all forms were seen.
+
+    Forms are looked at cheapest first; ``most`` bounds them, and a search that it ends says so.
+    """
+    from heapq import heappop, heappush
+
+    seen: dict[Expr, tuple[str, Expr] | None] = {e: None}
+    todo = [(cost(e), to_json(e), e)]
+    while todo and len(seen) < most:
+        _, _, x = heappop(todo)
+        for part, back in _positions(x):
+            found = [hit] if (hit := _rules(part, assume or set())) is not None else []
+            if part[0] in ("add", "mul") and len(part) == 3:
+                found.append(("commutativity", (part[0], part[2], part[1])))
+                for op, (_, left, right) in [(part[0], part)] if part[1][0] == part[0] and len(part[1]) == 3 else []:
+                    found.append(("associativity", (op, left[1], (op, left[2], right))))
+            for rule, new in found:
+                whole = back(new)
+                if whole not in seen:
+                    seen[whole] = (rule, x)
+                    heappush(todo, (cost(whole), to_json(whole), whole))
+    best = cheapest(list(seen))
+    steps: list[tuple[str, Expr]] = []
+    at = best
+    while (came := seen[at]) is not None:
+        steps.append((came[0], at))
+        at = came[1]
+    return best, steps[::-1], not todo
+
+
 def cheapest(candidates: list[Expr]) -> Expr:
     """Least cost, then least text."""
     return min(candidates, key=lambda x: (cost(x), to_json(x)))
 
 
-def equivalent(a: Expr, b: Expr, names: list[str], samples: int = 64, tolerance: float = 1e-9) -> bool:
+def canonical_form(e: Expr, assume: set[str] | None = None) -> Expr:
+    """Simplified, with the operands of sums and products flattened and sorted."""
+    e = simplify(e, assume)[0]
+
+    def go(x: Expr) -> Expr:
+        if x[0] in ("lit", "var", "param"):
+            return x
+        if x[0] == "piecewise":
+            return (x[0], tuple((go(c), go(v)) for c, v in x[1]), go(x[2]))
+        parts = [go(a) for a in x[1:]]
+        if x[0] in ("add", "mul"):
+            flat = [y for p in parts for y in (p[1:] if p[0] == x[0] else (p,))]
+            return (x[0], *sorted(flat, key=to_json))
+        return (x[0], *parts)
+
+    return go(e)
+
+
+def equivalence(a: Expr, b: Expr, names: list[str], assume: set[str] | None = None) -> str:
+    """equivalent where canonical forms agree, different where a sample point tells them apart, else undecided: points alone prove nothing."""
+    if canonical_form(a, assume) == canonical_form(b, assume):
+        return "equivalent"
+    return "undecided" if agree_on_samples(a, b, names) else "different"
+
+
+def equivalent(a: Expr, b: Expr, names: list[str], assume: set[str] | None = None) -> bool:
+    """Only what is shown to be equivalent."""
+    return equivalence(a, b, names, assume) == "equivalent"
+
+
+def agree_on_samples(a: Expr, b: Expr, names: list[str], samples: int = 64, tolerance: float = 1e-9) -> bool:
     """Agreement on fixed sample points where both are defined (at least one)."""
     import random
 

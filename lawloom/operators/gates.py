@@ -104,6 +104,42 @@ def readiness(gates: dict[str, tuple[str, bool]], required: Iterable[str] = ())
     return Decision(verdict, [f"{g}_{have[g][0]}" for g in bad])
 
 
+def comparison_universe(candidate: tuple[str, float], baseline: tuple[str, float], candidate_key: dict, baseline_key: dict, margin: float | None = None, pairs: Iterable[dict] = ()) -> dict:
+    """Candidate and baseline (id, score) that were scored on the same geometry; keys that differ are an error."""
+    differs = sorted(k for k in candidate_key.keys() | baseline_key.keys() if candidate_key.get(k) != baseline_key.get(k))
+    if differs:
+        raise ValueError(f"comparison_key_mismatch: {', '.join(differs)}")
+    difference = baseline[1] - candidate[1]
+    return {"candidate_id": candidate[0], "baseline_id": baseline[0], "candidate_score": candidate[1], "baseline_score": baseline[1], "comparison_key": dict(candidate_key), "practical_margin": margin, "beats_baseline": difference > (margin or 0.0), "paired_records": list(pairs)}
+
+
+def manifest_digest(body: dict) -> str:
+    import hashlib
+    import json
+
+    return "sha256:" + hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+
+
+def reproducibility_bundle(run_id: str, artifacts: dict[str, str], seeds: dict[str, str], environment: dict[str, str], outcome: dict) -> dict:
+    """What a replay needs: artifact digests, seeds, environment, and the digest of the outcome that it must reach."""
+    body = {"run_id": run_id, "artifacts": dict(sorted(artifacts.items())), "seeds": dict(sorted(seeds.items())), "environment": dict(sorted(environment.items())), "outcome_digest": manifest_digest(outcome)}
+    return body | {"bundle_digest": manifest_digest(body)}
+
+
+def publication_record(run_id: str, card: dict[str, Decision], bundle: dict, readiness_verdict: str) -> dict:
+    """What is published of a run: its claim, or the abstention, with the bundle that backs it. A run that isn't ready publishes an abstention."""
+    own = claim(card) if readiness_verdict == "ready" else {"publication_mode": "abstention_only_publication", "claim_type": None, "reason_codes": ["readiness_" + readiness_verdict], "blocked_ceiling": LANES[0]}
+    body = {"run_id": run_id, **own, "bundle_digest": bundle["bundle_digest"]}
+    return body | {"record_digest": manifest_digest(body)}
+
+
+def verify_evidence(bundle: dict[str, str], sources: dict[str, bytes]) -> Decision:
+    """Whether every source is there and has its digest."""
+    now = evidence_bundle(sources)
+    reasons = [f"evidence_missing:{k}" for k in sorted(bundle) if k not in now] + [f"evidence_changed:{k}" for k in sorted(bundle) if k in now and now[k] != bundle[k]] + [f"evidence_unknown:{k}" for k in sorted(now) if k not in bundle]
+    return Decision("failed" if reasons else "passed", reasons)
+
+
 def evidence_bundle(sources: dict[str, bytes]) -> dict[str, str]:
     """Digest of each source."""
     import hashlib

@@ -33,6 +33,18 @@ def leave_one_entity_out_splits(rows: DataFrame) -> DataFrame:
     return test.unionByName(both.select(F.col("entity").alias("held_out"), F.lit("train").alias("role"), (F.col("tn") - F.col("n")).alias("n_rows"), (F.col("te") - 1).alias("n_entities")))
 
 
+def leave_one_entity_out_rows(rows: DataFrame, held_out: str) -> tuple[DataFrame, DataFrame]:
+    """(train, test) rows of the split that holds one entity out."""
+    return rows.where(F.col("entity") != held_out), rows.where(F.col("entity") == held_out)
+
+
+def invariance(parameter_range: float, spread: float, min_jaccard: float, degradation: float, limits: dict[str, float]) -> tuple[str, list[str]]:
+    """All four measures against their limits: passed, or failed with every reason."""
+    checks = (("parameter_instability", parameter_range <= limits["parameter_range"]), ("residual_variance", spread <= limits["residual_spread"]), ("support_instability", min_jaccard >= limits["support_jaccard"]), ("holdout_degradation", degradation <= limits["holdout_degradation"]))
+    reasons = [name for name, ok in checks if not ok]
+    return ("failed" if reasons else "passed"), reasons
+
+
 def shared_structure(rows: DataFrame, target: str, features: list[str], ridge: float = 1.0) -> DataFrame:
     """Leakage gate (the target named among the features), pooling and the spread of the offsets (one row)."""
     leak = target in features
@@ -40,11 +52,31 @@ def shared_structure(rows: DataFrame, target: str, features: list[str], ridge: f
     return p.agg(F.count("*").alias("n_entities"), F.max("global_mean").alias("global_mean"), (F.max("offset") - F.min("offset")).alias("offset_range"), F.lit("blocked" if leak else "passed").alias("leakage_status"))
 
 
+def _positions(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``_i``, the position from 0 in the whole table's order."""
+    first, rest = order[0], order[1:] or [order[0]]
+    times = rows.groupBy(first).agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(first).orderBy(*rest)) - 1
+    return rows.withColumn("_j", inside).join(times.select(first, before.alias("_b")), first).withColumn("_i", F.col("_b") + F.col("_j")).drop("_j", "_b").select(*rows.columns, "_i")
+
+
+def _changes(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``_d``, the absolute change from the row before in the whole table's order (0 for the first, and beside a null)."""
+    first, rest = order[0], order[1:] or [order[0]]
+    inside = Window.partitionBy(first).orderBy(*rest)
+    last = rows.groupBy(first).agg(F.max_by(F.struct("target"), F.struct(*rest)).alias("_l"))
+    last = last.select(first, F.lag("_l").over(Window.orderBy(first)).getField("target").alias("_p"))
+    r = rows.withColumn("_n", F.row_number().over(inside)).withColumn("_q", F.lag("target").over(inside)).join(last, first)
+    before = F.when(F.col("_n") == 1, F.col("_p")).otherwise(F.col("_q"))
+    return r.withColumn("_d", F.coalesce(F.abs(F.col("target") - before), F.lit(0.0))).select(*rows.columns, "_d")
+
+
 def environments(rows: DataFrame, policy: str, order: list[str], eras: int = 4, label: str = "label", windows: DataFrame | None = None) -> DataFrame:
     """Adds ``environment`` by policy: explicit_label, entity, rolling_era, volatility_regime or intervention_window.
 
-    Eras and regimes order the whole table, as the policy does; their window has one partition by
-    definition and carries only the ordering columns and the target.
+    Eras and regimes order the whole table: rows are ordered inside each value of the first ordering
+    column, and only a table with one row for each such value (a time) is ordered as a whole.
     """
     if policy == "explicit_label":
         return rows.withColumn("environment", F.coalesce(F.nullif(F.trim(label), F.lit("")), F.lit("missing_label")))
@@ -52,15 +84,14 @@ def environments(rows: DataFrame, policy: str, order: list[str], eras: int = 4,
         return rows.withColumn("environment", F.col("entity"))
     if policy == "rolling_era":
         n = rows.agg(F.count("*").alias("_n"))
-        r = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).crossJoin(F.broadcast(n))
+        r = _positions(rows, order).crossJoin(F.broadcast(n))  # one row
         return r.withColumn("environment", F.concat(F.lit("era_"), (F.floor(F.col("_i") / F.ceil(F.col("_n") / eras)) + 1).cast("string"))).drop("_i", "_n")
     if policy == "volatility_regime":
-        d = rows.withColumn("_d", F.coalesce(F.abs(F.col("target") - F.lag("target").over(Window.orderBy(*order))), F.lit(0.0)))
-        ranked = d.select("_d", F.row_number().over(Window.orderBy("_d")).alias("_r"), F.count("*").over(Window.partitionBy()).alias("_n"))
-        upper = ranked.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(F.col("_d").alias("_m"))
+        d = _changes(rows, order)
+        upper = d.agg((-F.expr("percentile_disc(0.5) within group (order by -_d)")).alias("_m"))  # the upper median
         return d.crossJoin(F.broadcast(upper)).withColumn("environment", F.when(F.col("_d") > F.col("_m"), "high_volatility").otherwise("low_volatility")).drop("_d", "_m")
     if policy == "intervention_window":
-        w = F.broadcast(windows.select(F.col("window_id").alias("_w"), F.col("start").alias("_s"), F.col("end").alias("_e")))  # declared windows: a small driver table
+        w = windows.select(F.col("window_id").alias("_w"), F.col("start").alias("_s"), F.col("end").alias("_e"))
         t = F.col(order[0])
         return rows.join(w, (t >= F.col("_s")) & (t <= F.col("_e")), "left").withColumn("environment", F.coalesce("_w", F.lit("outside_intervention"))).drop("_w", "_s", "_e")
     raise ValueError(f"unknown policy: {policy}")

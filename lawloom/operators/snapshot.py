@@ -18,6 +18,15 @@ def freeze_snapshot(obs: DataFrame, cutoff=None) -> DataFrame:
     return seen.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r").where(F.col("target").isNotNull())
 
 
+def indexed_by(rows: DataFrame, bucket: Column) -> DataFrame:
+    """``indexed`` for long series: numbers rows inside (entity, bucket), where buckets follow event_time, and adds what earlier buckets hold."""
+    r = rows.withColumn("_b", bucket)
+    n = r.groupBy("entity", "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("entity").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("entity", "_b").orderBy("event_time")) - 1
+    return r.withColumn("_i", inside).join(n.select("entity", "_b", before.alias("_before")), ["entity", "_b"]).withColumn("idx", F.col("_before") + F.col("_i")).drop("_b", "_i", "_before")
+
+
 def indexed(rows: DataFrame) -> DataFrame:
     """idx: position of a row in its entity's series, from 0."""
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy("entity").orderBy("event_time")) - 1)

@@ -101,7 +101,7 @@ LATE = P3 + ", s3 AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY
   FROM s3 c JOIN s3 s ON s.entity = c.entity AND s.event_time < c.event_time AND s.available_at <= c.available_at WHERE c.idx >= 3)
  SELECT entity, idx, {S('max(CASE WHEN r = 1 THEN target END)')} AS lag_1, {S('max(CASE WHEN r = 2 THEN target END)')} AS lag_2, {S('avg(target) FILTER (r <= 3)')} AS rolling_mean_3 FROM j GROUP BY entity, idx HAVING count(*) >= 3""")
 def legal_history_features(spark, d):
-    rows = features.legal_features(snapshot.indexed(late_arrivals(spark, d)).drop("revision_id"), [1, 2], [3])
+    rows = features.legal_features(snapshot.indexed_by(late_arrivals(spark, d), F.date_trunc("hour", "event_time")).drop("revision_id"), [1, 2], [3])
     return rows.select("entity", F.col("idx").cast("long").alias("idx"), R("lag_1").alias("lag_1"), R("lag_2").alias("lag_2"), R("rolling_mean_3").alias("rolling_mean_3"))
 
 
@@ -114,7 +114,7 @@ def feature_view_on_time(spark, d):
 
 @query("late_source_canaries", f"""WITH {LATE} SELECT c.entity, c.idx, count(*) AS n_blocked, CAST(min(s.idx) AS BIGINT) AS first_blocked FROM s3 c JOIN s3 s ON s.entity = c.entity AND s.idx BETWEEN c.idx - 3 AND c.idx - 1 AND s.available_at > c.available_at WHERE c.idx >= 3 GROUP BY 1, 2""")
 def late_source_canaries(spark, d):
-    rows = features.late_source_canaries(snapshot.indexed(late_arrivals(spark, d)), [1], [3])
+    rows = features.late_source_canaries(snapshot.indexed_by(late_arrivals(spark, d), F.date_trunc("hour", "event_time")), [1], [3])
     return rows.select("entity", F.col("idx").cast("long").alias("idx"), F.size("blocked").cast("long").alias("n_blocked"), F.element_at("blocked", 1).cast("long").alias("first_blocked"))
 
 

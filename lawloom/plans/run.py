@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lawloom.functions import coding
-from lawloom.operators import fits, folds, gates, inference, scoring, selection, snapshot
+from lawloom.operators import fits, folds, gates, inference, robustness, scoring, selection, snapshot
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,20 @@ class Request:
     baseline: str = "constant"
     margin: float = 0.0
     max_lag: int = 4
+    surrogates: int = 19
+    seed: str = "0"
+
+
+@dataclass
+class Robustness:
+    """Outcome of the null comparison, the perturbations and the canaries of a run."""
+
+    status: str
+    null: str
+    p_value: float | None
+    perturbations: dict[str, str]
+    canaries: dict[str, str]
+    reasons: list[str]
 
 
 @dataclass
@@ -37,6 +51,21 @@ class Result:
     scores: dict[str, float]
     gains: dict[str, int]
     reasons: list[str] = field(default_factory=list)
+    robustness: Robustness | None = None
+    falsification: str = "passed"
+
+
+def robust(snap: DataFrame, rows: DataFrame, family: str, request: Request) -> Robustness:
+    """Null, perturbations and canaries of a family on a run's rows."""
+    weights = folds.horizon_weights(request.horizon, list(request.weights) if request.weights else None)
+    null = robustness.surrogate_null(rows, family, request.step, request.surrogates, request.seed).first()
+    development = lambda r: scoring.primary_score(losses(r, request).where("role = 'development'"), ["family"], weights).select("family", "score")
+    runs = robustness.perturbation_runs(rows.select("entity", "idx", "event_time", "target"), family, request.baseline, request.step, development)
+    judged = {r["perturbation"]: r["status"] for r in robustness.judged(runs).collect()}
+    canaries = robustness.canaries(snap, folds.evaluation_plan(rows, request.min_train, request.horizon), request.cutoff)
+    stability = "abstained" if not judged else "failed" if "failed" in judged.values() else "passed"
+    status, reasons = robustness.final_status(null["status"] if null else "abstained", stability, canaries)
+    return Robustness(status, null["status"] if null else "abstained", null["p_value"] if null else None, judged, canaries, reasons)
 
 
 def losses(rows: DataFrame, request: Request) -> DataFrame:
@@ -62,20 +91,22 @@ def run(observations: DataFrame, request: Request = Request()) -> Result:
     admitted = [f for f in scores if gains.get(f, 0) > 0 and f != request.baseline]
     winner = min(admitted, key=lambda f: (scores[f], f), default=None)
     if winner is None:
-        card = gates.scorecard(admissible=False, robustness="passed", beats_baseline=False, promotion_allowed=False, comparison="comparable", time_safety="passed", calibration="not_applicable_for_forecast_type", reasons=["description_gain_below_floor"])
+        card = gates.scorecard(admissible=False, robustness="not_evaluated", beats_baseline=False, promotion_allowed=False, comparison="comparable", time_safety="passed", calibration="not_applicable_for_forecast_type", reasons=["description_gain_below_floor"])
         return Result(None, gates.claim(card), {k: d.status for k, d in card.items()}, scores, gains, card["descriptive"].reason_codes)
     keys = ["entity", "origin_index", "horizon"]
     diffs = scoring.paired_differentials(table.where(F.col("family") == winner), table.where(F.col("family") == request.baseline), keys)
     comparison = scoring.same_keys(table.where(F.col("family") == winner), table.where(F.col("family") == request.baseline), keys).first()["status"]
     one = diffs.where("horizon = 1").groupBy("origin_index").agg(F.avg("loss_difference").alias("loss_difference")).withColumn("all", F.lit("all"))
     test = inference.hac_mean_test(one, ["all"], "origin_index", "loss_difference", request.max_lag).first()
+    own = robust(snap, rows, winner, request)
+    findings = gates.dossier([{"reason_codes": own.reasons}] if own.reasons else [])
     n_eff = inference.effective_sample_size(one, ["all"], "origin_index", "loss_difference", request.max_lag).first()
     promoted = gates.promotion(test["mean"], (test["lower"], test["upper"]), request.margin, test["n"], n_eff["n_eff"])
     card = gates.scorecard(
-        admissible=True, robustness="passed", beats_baseline=final[winner] < final[request.baseline], promotion_allowed=promoted.status == "passed", comparison=comparison,
+        admissible=True, robustness=own.status, reasons=own.reasons, falsification=findings.status, beats_baseline=final[winner] < final[request.baseline], promotion_allowed=promoted.status == "passed", comparison=comparison,
         time_safety="blocked" if late else "passed", calibration="not_applicable_for_forecast_type",
     )
-    return Result(winner, gates.claim(card), {k: d.status for k, d in card.items()}, scores, gains, promoted.reason_codes)
+    return Result(winner, gates.claim(card), {k: d.status for k, d in card.items()}, scores, gains, promoted.reason_codes, own, findings.status)
 
 
 def finalists(observations: DataFrame, request: Request = Request()) -> DataFrame:

@@ -22,17 +22,21 @@ def late(spark):
     return rows, snapshot.indexed(spark.createDataFrame(rows, "entity string, event_time long, available_at long, target double"))
 
 
-@pytest.mark.parametrize("look_back", [4, 64])
-def test_legal_history_equals_the_loop(late, look_back):
+@pytest.mark.parametrize("look_back, block", [(4, 16), (4, 3), (64, 4096)])
+def test_legal_history_equals_the_loop(late, look_back, block):
     rows, df = late
     want = {}
     for e, t, a, _ in rows:
         legal = [y for f, s, b, y in rows if f == e and s < t and b <= a]
         if t >= 3 and len(legal) >= 3:
             want[e, t] = (legal[-1], legal[-2], sum(legal[-3:]) / 3)
-    got = {(r["entity"], r["event_time"]): (r["lag_1"], r["lag_2"], r["rolling_mean_3"]) for r in features.legal_features(df, [1, 2], [3], look_back).collect()}
+    got = {(r["entity"], r["event_time"]): (r["lag_1"], r["lag_2"], r["rolling_mean_3"]) for r in features.legal_features(df, [1, 2], [3], look_back, block).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
-    assert features.has_late_rows(df) and not features.has_late_rows(df.withColumn("available_at", F.col("event_time")))
+    by = snapshot.indexed_by(df.drop("idx"), F.floor(F.col("event_time") / 7))
+    assert sorted((r["entity"], r["event_time"], r["idx"]) for r in by.collect()) == sorted((r["entity"], r["event_time"], r["idx"]) for r in df.collect())
+    canaries = lambda n: sorted(map(tuple, features.late_source_canaries(df, [1, 4], [2], n).collect()))
+    assert canaries(3) == canaries(10**6)
+    assert features.has_late_rows(df, block) and not features.has_late_rows(df.withColumn("available_at", F.col("event_time")))
 
 
 def test_snapshot_takes_the_last_revision_before_dropping_blanks(spark):
@@ -122,7 +126,7 @@ def test_expression_language(spark):
     e = expression.parse_text("sqrt(x*x) + 0 + (x*y)/y")
     simple, trace = expression.simplify(e, {"nonzero:y"})
     assert "divide_common_factor" in trace and "additive_identity" in trace and expression.cost(simple) < expression.cost(e)
-    assert expression.equivalent(e, simple, ["x", "y"])
+    assert expression.equivalent(e, simple, ["x", "y"], {"nonzero:y"}) and expression.equivalence(e, simple, ["x", "y"]) == "undecided"
     assert expression.from_json(expression.to_json(e)) == e
     df = spark.createDataFrame([(1.5, 2.0), (0.3, 4.0)], "x double, y double")
     tree = ("add", ("if", ("gt", ("var", "x"), ("lit", 1.0)), ("exp", ("var", "x")), ("neg", ("var", "y"))), ("protected_div", ("var", "x"), ("lit", 0.0)))
@@ -244,6 +248,24 @@ def test_algorithmic_path():
     assert programs.path(text, [4.0, 8.0], 3) == [5.0, 3.5, 2.75]
 
 
+def test_row_set_identity(spark):
+    rows = [("a", i, i, float(i)) for i in range(50)]
+    digest = lambda r, n=1: coding.row_set_id(spark.createDataFrame(r, "entity string, event_time long, available_at long, target double").repartition(n)).first()[0]
+    assert digest(rows) == digest(rows[::-1], 7) != digest([*rows[:-1], ("a", 49, 49, 50.0)])
+    assert digest(rows) != digest([*rows, rows[0]])  # repeats count
+
+
+def test_literal_codes():
+    code = coding.natural_code_length
+    assert coding.literal_bits(True, "0.5") == coding.literal_bits(None, "0.5") == 1 and coding.literal_bits(-3, "0.5") == code(5) and coding.literal_bits(1.25, "0.5") == code(6)
+    assert coding.literal_bits("ab", "0.5") == code(2) + code(97) + code(98) and coding.literal_bits("(a b)", "0.5", "program") == code(2) + code(5) + sum(map(code, b"(a b)"))
+    assert coding.decimal_text("1.500") == "1.5" and coding.decimal_text("1E+2") == "100" and coding.decimal_text("0.00") == "0"
+    with pytest.raises(ValueError):
+        coding.literal_bits([], "0.5")
+    with pytest.raises(ValueError):
+        coding.resolve_step(None, "fixed_step_mid_tread", step="0")
+
+
 def test_lineage(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "parent string, child string")
     roots = spark.createDataFrame([("a",)], "node string")
