@@ -392,9 +392,9 @@ def dedup(docs: DataFrame, cut: Cut, judge: Judge, finish: Callable, schema, ddl
     total = int(slim.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     cores = spark.sparkContext.defaultParallelism
     buckets, slices = max(2 * cores, -(-total // bucket_bytes)), max(1, -(-total // bytes_per_slice))
-    parts = max(-(-buckets // 2), cores)
     number = F.pmod(F.xxhash64("doc_id", "sha"), F.lit(buckets)).cast("int").alias("bucket")
-    dealt = keyed.select("doc_id", "t", "sha", number).repartition(parts, "bucket")
+    # a bucket is a partition, so no partition gets several by chance
+    dealt = keyed.select("doc_id", "t", "sha", number).repartitionById(buckets, F.col("bucket"))
 
     # equal texts: every bucket learns the smallest doc_id of its texts that others share
     same = slim.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1")
@@ -406,7 +406,7 @@ def dedup(docs: DataFrame, cut: Cut, judge: Judge, finish: Callable, schema, ddl
         for x in tables:
             x = x.select("bucket", *(F.col(c) if c in x.columns else F.lit(None).cast(k).alias(c) for c, k in columns.items()))
             out = x if out is None else out.unionByName(x)
-        return out.repartition(parts, "bucket")
+        return out.repartitionById(buckets, F.col("bucket"))
 
     def meet(info: DataFrame, run, result: str) -> DataFrame:
         return dealt.groupBy("bucket").cogroup(info.groupBy("bucket")).applyInArrow(run, result)
