@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lawloom.functions import programs
 from lawloom.operators import fits, panel, paths
 from lawloom.plans.queries_core import BASE, OLS, R, S, monthly
 from lawloom.plans.queries_evidence import TAIL
@@ -113,6 +114,13 @@ def shared_local_paths(spark, d):
     return shown(paths.forecast_path(o, "shared_plus_local", 3))
 
 
+@query("algorithmic_paths", f"WITH {I4}, y AS (SELECT entity, arg_max(target, idx) AS y FROM i4 GROUP BY 1), f AS (SELECT entity, horizon, CASE horizon WHEN 1 THEN 0.5 * y + 1 WHEN 2 THEN 0.5 * (0.5 * y + 1) + 1 ELSE 0.5 * (0.5 * (0.5 * y + 1) + 1) + 1 END AS forecast FROM y, {H}) SELECT entity, horizon, {S('forecast', 3)} AS forecast FROM f")
+def algorithmic_paths(spark, d):
+    """A program whose state is half of what it sees, plus one; after the series it sees its own emits."""
+    text = "(program (state (lit 0)) (next (add (mul (lit 1/2) (obs 0)) (lit 1))) (emit (state 0)))"
+    return programs.program_paths(monthly(spark, d), text, 3).select("entity", "horizon", R("forecast", 3).alias("forecast"))
+
+
 @query("missing_forecast_rows", f"WITH {I4}, n AS (SELECT entity, idx, target, horizon, lead(target, horizon) OVER (PARTITION BY entity, horizon ORDER BY idx) AS realized FROM i4, {H}) SELECT entity, idx AS origin_index, horizon, CASE WHEN horizon = 2 THEN 'missing_forecast' ELSE 'missing_realized_value' END AS reason FROM n WHERE horizon = 2 OR realized IS NULL")
 def missing_forecast_rows(spark, d):
     """The direct fit knows horizons 1 and 3 only; the last origins have nothing realised."""
